@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, tokens, url_filter
+from . import near_dup, packing, tokens, url_filter, warc
 from .common import read
 
 
@@ -16,6 +16,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(read(spark, sf_dir, "pages"), min_revisit_bytes=0, payload=False)
+    return captures.select("page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", "refers_to")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -37,6 +42,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_warc_transactions": op5_warc_transactions,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op8_url_filters": op8_url_filters,
         "op9_token_counts": op9_token_counts,
@@ -45,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": url_filter.SQL}
+    return {"op5_warc_transactions": warc.SQL, "op8_url_filters": url_filter.SQL}
