@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dup, packing, tokens, url_filter, warc
+from . import line_dedup, near_dup, packing, tokens, url_filter, warc
 from .common import read
 
 
@@ -16,6 +17,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.round_trip(read(spark, sf_dir, "pages"), min_revisit_bytes=0, payload=False)
     return captures.select("page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", "refers_to")
@@ -42,6 +48,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op5_warc_transactions": op5_warc_transactions,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op8_url_filters": op8_url_filters,
@@ -51,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_transactions": warc.SQL, "op8_url_filters": url_filter.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_warc_transactions": warc.SQL, "op8_url_filters": url_filter.SQL}
