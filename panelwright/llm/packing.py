@@ -16,6 +16,7 @@ from .tokens import tokenizer
 
 CAPACITY = 1024
 SHARD_PIECES = 50_000
+SLACK = 8
 MEMO_WORDS = 200_000
 #: Pre-token pattern of the byte-level tokenizers (fixed value, public).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -110,6 +111,47 @@ def _rows(out: list[tuple], with_ids: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def _best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bin and offset of each of the descending ``sizes`` by tightest gap, and the number of bins."""
+    counts, gaps, fresh = np.zeros(capacity + 1, np.int64), [[] for _ in range(capacity + 1)], 0
+    which, at = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    for i, size in enumerate(sizes.tolist()):
+        fits = counts[size:]
+        k = int(fits.argmax() if fits[0] else (fits > 0).argmax())
+        gap = size if fits[0] else size + k
+        if counts[gap]:
+            b = gaps[gap].pop()
+            counts[gap] -= 1
+        else:
+            b, gap, fresh = fresh, capacity, fresh + 1
+        which[i], at[i] = b, capacity - gap
+        if gap > size:
+            gaps[gap - size].append(b)
+            counts[gap - size] += 1
+    return which, at, fresh
+
+
+def place_all(sizes: np.ndarray, capacity: int = CAPACITY, slack: int = SLACK) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each of the descending ``sizes``.
+
+    The sum-of-squares rule places all of them.  It leaves every gap about equally often, so at
+    the end bins with more than ``slack`` tokens free are emptied and their pieces placed again by
+    best fit, if that takes fewer bins.
+    """
+    bins = SumOfSquares(capacity)
+    placed = np.asarray([bins.place(s) for s in sizes.tolist()], np.int64).reshape(-1, 2)
+    which, at = placed[:, 0], placed[:, 1]
+    fill = np.bincount(which, weights=sizes, minlength=bins.fresh)
+    poor = fill < capacity - slack
+    again = np.flatnonzero(poor[which]) if len(which) else which
+    if len(again):
+        w, o, n = _best_fit(sizes[again], capacity)
+        if n < int(poor.sum()):
+            free = np.flatnonzero(poor)[:n]
+            which[again], at[again] = free[w], o
+    return which, at
+
+
 class SumOfSquares:
     """Open bins counted by residual gap; an item goes where the sum of squared counts is least.
 
@@ -162,20 +204,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD_PIECES)
     full = F.col("length") >= capacity
     some = pieces.filter(~full)
     n = max(1, -(-some.count() // shard))
-    keys = some.select("doc_id", "piece", "length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).alias("_shard"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins = SumOfSquares(capacity)
-        placed = [bins.place(s) for s in pdf["length"].tolist()]
-        at = np.asarray(placed, np.int64).reshape(-1, 2)
-        pdf["sequence_id"] = (at[:, 0] * n + pdf["_shard"].to_numpy()) * 2
-        pdf["offset"] = at[:, 1]
+        which, at = place_all(pdf["length"].to_numpy(), capacity)
+        pdf["sequence_id"] = (which * n + pdf["_shard"].to_numpy()) * 2
+        pdf["offset"] = at
         return pdf.drop(columns="_shard")
 
     rest = [c for c in pieces.columns if c not in ("doc_id", "piece", "length")]
     carried = some.select("doc_id", "piece", "length", *rest, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).alias("_shard"))
-    del keys
     schema = carried.drop("_shard").schema.add("sequence_id", "long").add("offset", "long")
     packed = carried.groupBy("_shard").applyInPandas(run, schema)
     alone = pieces.filter(full).select("doc_id", "piece", "length", *rest).withColumns(
