@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,19 +18,26 @@ from .tokens import tokenizer
 CAPACITY = 1024
 SHARD_PIECES = 50_000
 SLACK = 8
-MEMO_WORDS = 200_000
 #: Pre-token pattern of the byte-level tokenizers (fixed value, public).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on whose classes all regular-expression engines agree.
 PLAIN = r"[\n\r\t\x20-\x7e¡-¬®-ſ‐-‧€]*"
 
 
+def _byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies: printable bytes stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of texts as little-endian unsigned 32-bit bytes, as the library of the file gives them.
 
-    A byte-level tokenizer encodes each pre-token by itself, so the library's answer for a
-    pre-token is kept and used again.  Texts with characters outside ``PLAIN`` or with an added
-    special string go to the library whole.  The memory is bounded by ``MEMO_WORDS`` entries.
+    Plain texts of a byte-level file whose ids follow the order of its merges are encoded by the
+    faster rank encoder over the same vocabulary, which gives the same ids (held against the library in the
+    tests).  All other files, texts with characters outside ``PLAIN`` and texts with an added special string
+    go to the library.
     """
 
     def __init__(self, path: str):
@@ -39,31 +47,34 @@ class Ids:
 
         self.t = tokenizer(path)
         spec = json.loads(self.t.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_words = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.special = [a["content"] for a in spec.get("added_tokens", ())]
-        self.find = regex.compile(PATTERN).findall
         self.plain = regex.compile(PLAIN).fullmatch
-        self.memo: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.ranks = self._ranks(spec)
+
+    @staticmethod
+    def _ranks(spec: dict):
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("type") != "BPE":
+            return None
+        if model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+            return None
+        added = {a["content"] for a in spec.get("added_tokens", ())}
+        vocab = {w: i for w, i in model["vocab"].items() if w not in added}
+        joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if sorted(vocab.values()) != list(range(256 + len(joined))) or any(vocab.get(w) != 256 + i for i, w in enumerate(joined)):
+            return None
+        import tiktoken
+
+        alphabet = _byte_alphabet()
+        table = {bytes(alphabet[c] for c in w): i for w, i in vocab.items()}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_words or not self.plain(text) or any(s in text for s in self.special):
-            return self._whole(text)
-        words, memo = self.find(text), self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = self._whole(w)
-            return b"".join([memo[w] for w in words])
+        if self.ranks is None or not self.plain(text) or any(s in text for s in self.special):
+            return np.asarray(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.ranks.encode_ordinary(text)).tobytes()
 
 
 def tokenize_pieces(df: DataFrame, path: str, end_id: int | None = 2, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
