@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dup, packing, tokens, url_filter, warc
+from . import decontam, line_dedup, near_dup, packing, pii, quality, tokens, url_filter, warc
 from .common import read
 
 
@@ -22,6 +22,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source", "distance"
+    )
+
+
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("found")
+
+
 def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.round_trip(read(spark, sf_dir, "pages"), min_revisit_bytes=0, payload=False)
     return captures.select("page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", "refers_to")
@@ -31,6 +42,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -49,8 +65,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_pii_spans": op4_pii_spans,
         "op5_warc_transactions": op5_warc_transactions,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_url_filters": op8_url_filters,
         "op9_token_counts": op9_token_counts,
         "op10_best_fit_packing": op10_best_fit_packing,
@@ -58,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op5_warc_transactions": warc.SQL, "op8_url_filters": url_filter.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_warc_transactions": warc.SQL, "op7_benchmark_decontamination": decontam.SQL, "op8_url_filters": url_filter.SQL}
