@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWNED: dict[str, list[str]] = {}
+_OWNED: dict[tuple[str, str], list[str]] = {}
+_SCOPE = contextvars.ContextVar("scope", default="")
+
+
+@contextlib.contextmanager
+def scope(name: str):
+    """Tables staged inside belong to ``name``, so that ``release`` can drop them alone."""
+    token = _SCOPE.set(name)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/panelwright/{name}-{uuid.uuid4().hex}"
-    _OWNED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _OWNED.setdefault((spark.sparkContext.applicationId, _SCOPE.get()), []).append(path)
     return path
 
 
@@ -42,12 +55,15 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables staged so far.  Only for callers whose results are already written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _OWNED.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession, name: str = "") -> None:
+    """Delete the tables staged so far in a scope.  Only for callers whose results are already written."""
+    for path in _OWNED.pop((spark.sparkContext.applicationId, name), []):
+        delete(spark, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

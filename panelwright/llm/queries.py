@@ -11,7 +11,7 @@ from . import decontam, line_dedup, near_dup, packing, pii, quality, tokens, url
 from .common import read
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -54,12 +54,12 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokens.token_counts(docs, _vocabulary("word_bpe_49k.json"))
+    return tokens.token_counts(docs, vocabulary("word_bpe_49k.json"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack_documents(docs, _vocabulary("byte_bpe_50k.json"), end_id=2, with_ids=False)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=2, with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
