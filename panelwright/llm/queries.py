@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, near_dup, packing, pii, quality, tokens, url_filter, warc
+from . import decontam, line_dedup, near_dup, packing, pii, quality, suffix_dedup, tokens, url_filter, warc
 from .common import read
 
 
@@ -22,6 +22,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup_substrings(docs, keep_bytes=False).drop("spans")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.judge(docs).select(
@@ -65,6 +70,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_pii_spans": op4_pii_spans,
         "op5_warc_transactions": op5_warc_transactions,
