@@ -119,11 +119,21 @@ def _by(*cols: str):
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    aggs = [F.avg(x).alias(f"m_{x}") for x in FEATURES]
-    for i, a in enumerate(FEATURES):
-        for j, b in enumerate(FEATURES[: i + 1]):
-            aggs.append((F.covar_pop(a, b) * F.lit(CONSISTENCY) + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}"))
-    return _factor(rows.groupBy("g").agg(F.count("*").alias("m"), *aggs))
+    """Means and covariances by group from plain sums of deviations y_i from the centre before."""
+    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+    sums = rows.groupBy("g").agg(
+        F.count("*").alias("m"), *[F.first(f"m_{x}").alias(f"m_{x}") for x in FEATURES],
+        *[F.sum(f"y_{i}").alias(f"a_{i}") for i in range(len(FEATURES))],
+        *[F.sum(F.col(f"y_{i}") * F.col(f"y_{j}")).alias(f"q_{i}_{j}") for i, j in pairs],
+    )
+    n = F.col("m")
+
+    def cov(i: int, j: int) -> Column:
+        c = F.col(f"q_{i}_{j}") / n - (F.col(f"a_{i}") / n) * (F.col(f"a_{j}") / n)
+        return (c * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}")
+
+    means = [(F.col(f"m_{x}") + F.col(f"a_{i}") / n).alias(f"m_{x}") for i, x in enumerate(FEATURES)]
+    return _factor(sums.select("g", "m", *means, *[cov(i, j) for i, j in pairs]))
 
 
 def _factor(p: DataFrame) -> DataFrame:
@@ -138,11 +148,13 @@ def _factor(p: DataFrame) -> DataFrame:
     return p
 
 
-def _distance() -> Column:
-    z: list[Column] = []
-    for i, x in enumerate(FEATURES):
-        z.append((F.col(x) - F.col(f"m_{x}") - sum((F.col(f"l_{i}_{k}") * z[k] for k in range(i)), F.lit(0.0))) / F.col(f"l_{i}_{i}"))
-    return sum((v * v for v in z), F.lit(0.0))
+def _with_distance(df: DataFrame) -> DataFrame:
+    """Adds the deviations y_i and the squared robust distance d2, solving for one z_i a layer."""
+    df = df.withColumns({f"y_{i}": F.col(x) - F.col(f"m_{x}") for i, x in enumerate(FEATURES)})
+    for i in range(len(FEATURES)):
+        rest = sum((F.col(f"l_{i}_{k}") * F.col(f"z_{k}") for k in range(i)), F.lit(0.0))
+        df = df.withColumn(f"z_{i}", (F.col(f"y_{i}") - rest) / F.col(f"l_{i}_{i}"))
+    return df.withColumn("d2", sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(len(FEATURES))), F.lit(0.0)))
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -165,7 +177,7 @@ def estimates(stats: DataFrame) -> DataFrame:
     rows = stats.filter("NOT base_failed").select("g", *FEATURES)
     params = stage_table(_start(rows), "mcd")
     for _ in range(STEPS):
-        at = rows.join(params, "g").select("g", *FEATURES, _distance().alias("d2"))
+        at = _with_distance(rows.join(params, "g")).select("g", "d2", *[f"m_{x}" for x in FEATURES], *[f"y_{i}" for i in range(len(FEATURES))])
         edge = at.groupBy("g").agg(F.percentile_approx("d2", SHARE, 10_000).alias("edge"))
         params = stage_table(_moments(at.join(edge, "g").filter("d2 <= edge")), "mcd")
     return params
@@ -189,8 +201,7 @@ def judge(docs: DataFrame) -> DataFrame:
     stats = stage_table(stats, "quality")
     keyed = stats.join(_groups(stats), ["_lang", "_source"], "left")
     params = estimates(keyed).filter(F.col("m") >= F.lit(int(SHARE * MIN_GROUP))).drop("m")
-    d2 = _distance()
-    out = keyed.join(params, "g", "left").withColumn("distance", d2)
+    out = _with_distance(keyed.join(params, "g", "left")).withColumnRenamed("d2", "distance")
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= F.lit(CUTOFF)))
     return out.withColumn("kept", kept).select(*[c for c in src.columns if c not in ("text", "_lang", "_source")], "_key", *own[:6], "base_failed", "distance", "kept")
 
