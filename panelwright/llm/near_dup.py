@@ -9,8 +9,8 @@ Steps, each a distributed table:
 3. bands of the signature make buckets.  Every bucket sends its members only to its centre, the
    member that meets the most others over all buckets, so edges grow with members, not pairs;
 4. edges are confirmed on full shingle sets, read again from the texts;
-5. connected components of the confirmed edges.  Buckets that still hold more than one component
-   are compared in blocks by signature, and only pairs that may reach the threshold go to step 4
+5. connected components of the confirmed edges.  Members of buckets that still hold more than one
+   component go through an exact prefix filter, and the few pairs that it leaves go to step 4
    again; so a link between two members neither of which is a centre is not lost.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -189,31 +189,88 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.join(labels, "doc_id", "left_anti").unionByName(labels)
 
 
-def _residual(threshold: int):
-    """Pairs of one block pair whose signatures leave the threshold possible."""
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, n, token): one row a distinct shingle."""
+    for batch in batches:
+        doc, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for first, data, offs in K.slices(batch, "text"):
+            hashes, at = K.shingles(data, offs)
+            sets = [np.unique(hashes[at[r] : at[r + 1]]) for r in range(len(at) - 1)]
+            n = np.array([len(h) for h in sets], np.int64)
+            rows = slice(first, first + len(sets))
+            cols = [np.repeat(doc[rows], n), np.repeat(label[rows], n), np.repeat(n, n), np.concatenate(sets).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "label", "n", "token"])
+
+
+def _meet(threshold: int):
+    """Pairs of different labels that share a token, by the position filter; rows sorted by (token, i, j)."""
+
+    def pairs(x: pd.DataFrame) -> pd.DataFrame:
+        key = pd.factorize(pd.MultiIndex.from_frame(x[["token", "i", "j"]]))[0] if len(x) else np.zeros(0, int)
+        doc, lab, n, pos, blk, bi, bj = (x[c].to_numpy() for c in ("doc_id", "label", "n", "pos", "blk", "i", "j"))
+        out, left, shift = [], np.arange(len(x)), 1
+        while True:
+            left = left[left + shift < len(x)]
+            left = left[key[left] == key[left + shift]]
+            if not len(left):
+                break
+            p, q = left, left + shift
+            ok = (lab[p] != lab[q]) & ((bi[p] == bj[p]) | (blk[p] != blk[q]))
+            p, q = p[ok], q[ok]
+            need = -(-threshold * (n[p] + n[q]) // (100 + threshold))
+            ok = (1 + np.minimum(n[p] - pos[p], n[q] - pos[q]) >= need) & (100 * np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q]))
+            p, q = doc[p[ok]], doc[q[ok]]
+            if len(p):
+                out.append(np.unique(np.column_stack([np.minimum(p, q), np.maximum(p, q)]), axis=0))
+            shift += 1
+        got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, BINS)
-        doc, lab, n, blk = (pdf[c].to_numpy() for c in ("doc_id", "label", "n", "blk"))
-        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        out = []
-        for x in left:
-            y = right[(lab[right] != lab[x]) & (doc[right] > doc[x] if i == j else True)]
-            y = y[(100 * np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]))]
-            if not len(y):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for x in batches:
+            x = x if held is None else pd.concat([held, x], ignore_index=True)
+            if not len(x):
                 continue
-            same = (sig[y] == sig[x]).mean(axis=1)
-            # five standard errors; sets with fewer shingles than bins have fewer free draws
-            free = np.minimum(BINS, np.minimum(n[y], n[x]))
-            y = y[same >= threshold / 100 - 5 * np.sqrt(0.1875 / free)]
-            out.append(np.column_stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])]))
-        got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+            last = (x["token"] == x["token"].iloc[-1]) & (x["i"] == x["i"].iloc[-1]) & (x["j"] == x["j"].iloc[-1])
+            held = x[last]
+            yield pairs(x[~last])
+        if held is not None:
+            yield pairs(held)
 
     return run
 
 
+def missed_pairs(labels: DataFrame, docs: DataFrame, threshold: int = 75) -> DataFrame:
+    """Pairs (a, b) of different labels that may still reach the threshold: an exact prefix filter.
+
+    ``labels`` (doc_id, label) are documents of different texts.  A shingle is open if documents
+    of two labels or more have it; only open shingles can be shared across labels, so a document of which
+    less than the threshold is open has no link left.  The others order their shingles with
+    the closed first and then the rarest first.  Two sets that reach the threshold share a
+    shingle in a prefix, at positions that leave enough to come; only such pairs are returned.
+    Hot shingles are compared in blocks of ``BLOCK``.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = labels.join(texts, "doc_id").select("doc_id", "label", "text").mapInArrow(_tokens, "doc_id long, label long, n long, token long")
+    rows = stage_table(rows, "tokens")
+    for _ in range(2):
+        df = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "df")
+        opened = rows.join(df, "token")
+        enough = opened.groupBy("doc_id").agg(F.count("*").alias("opened"), F.first("n").alias("m")).filter(f"100 * opened >= {threshold} * m").select("doc_id", "opened")
+        rows = stage_table(opened.drop("df").join(enough.select("doc_id"), "doc_id", "left_semi"), "tokens")
+    df = rows.groupBy("token").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("doc_id").orderBy("df", "token")
+    own = Window.partitionBy("doc_id")
+    placed = rows.join(df, "token").withColumn("pos", F.col("n") - F.count("*").over(own) + F.row_number().over(order))
+    prefix = placed.filter(f"pos <= n - ceil({threshold} * n / 100) + 1").select("token", "doc_id", "label", "n", "pos")
+    size = prefix.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "nb")
+    x = prefix.join(size, "token").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
+    x = x.select("token", "i", "j", "blk", "doc_id", "label", "n", "pos").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return x.mapInPandas(_meet(threshold), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
@@ -246,13 +303,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     found = stage_table(components(links), "labels")
 
     labelled = buckets.join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", "m")
-    rest = labelled.join(open_keys, "key").join(reps.select("doc_id", "sig"), "doc_id")
-    rest = rest.withColumn("nb", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    rest = rest.withColumn("o", other).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
-    pairs = rest.select("key", "i", "j", "blk", "doc_id", "label", "n", "sig").groupBy("key", "i", "j").applyInPandas(_residual(threshold), "a long, b long")
-    pairs = stage_table(pairs.distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    rest = labelled.join(open_keys, "key", "left_semi").select("doc_id", "label").distinct()
+    pairs = missed_pairs(rest, docs, threshold)
+    tried = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = stage_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = stage_table(confirm(pairs, docs, threshold), "links")
     if more.limit(1).count():
         joined = found.select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
