@@ -153,9 +153,10 @@ def confirm(edges: DataFrame, docs: DataFrame, threshold: int = 75) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = edges.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR_PART)).cast("int").alias("parts"))
     dealt = edges.join(size, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    members = dealt.join(texts, dealt.b == texts.doc_id).select("a", "part", "b", "text")
+    # the sides of these joins grow with the input, so none is ever broadcast
+    members = dealt.hint("merge").join(texts, dealt.b == texts.doc_id).select("a", "part", "b", "text")
     heads = dealt.select("a", "part").distinct()
-    heads = heads.join(texts, heads.a == texts.doc_id).select("a", "part", F.lit(-1).cast("long").alias("b"), "text")
+    heads = heads.hint("merge").join(texts, heads.a == texts.doc_id).select("a", "part", F.lit(-1).cast("long").alias("b"), "text")
     rows = members.unionByName(heads).repartition("a", "part").sortWithinPartitions("a", "part", "b")
     return rows.mapInArrow(_confirm(threshold), "a long, b long")
 
@@ -252,17 +253,17 @@ def missed_pairs(labels: DataFrame, docs: DataFrame, threshold: int = 75) -> Dat
     Hot shingles are compared in blocks of ``BLOCK``.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = labels.join(texts, "doc_id").select("doc_id", "label", "text").mapInArrow(_tokens, "doc_id long, label long, n long, token long")
+    rows = labels.hint("merge").join(texts, "doc_id").select("doc_id", "label", "text").mapInArrow(_tokens, "doc_id long, label long, n long, token long")
     rows = stage_table(rows, "tokens")
     for _ in range(2):
         df = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "df")
-        opened = rows.join(df, "token")
+        opened = rows.join(df.hint("merge"), "token")
         enough = opened.groupBy("doc_id").agg(F.count("*").alias("opened"), F.first("n").alias("m")).filter(f"100 * opened >= {threshold} * m").select("doc_id", "opened")
-        rows = stage_table(opened.drop("df").join(enough.select("doc_id"), "doc_id", "left_semi"), "tokens")
+        rows = stage_table(opened.drop("df").join(enough.select("doc_id").hint("merge"), "doc_id", "left_semi"), "tokens")
     df = rows.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("doc_id").orderBy("df", "token")
     own = Window.partitionBy("doc_id")
-    placed = rows.join(df, "token").withColumn("pos", F.col("n") - F.count("*").over(own) + F.row_number().over(order))
+    placed = rows.join(df.hint("merge"), "token").withColumn("pos", F.col("n") - F.count("*").over(own) + F.row_number().over(order))
     prefix = placed.filter(f"pos <= n - ceil({threshold} * n / 100) + 1").select("token", "doc_id", "label", "n", "pos")
     size = prefix.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "nb")
     x = prefix.join(size, "token").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
@@ -288,6 +289,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     buckets = reps.select("doc_id", "n", "sig").mapInArrow(lambda it: _bands(_pick(it)), "key long, doc_id long, n long")
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = stage_table(buckets.join(sizes, "key"), "buckets")
+    met = buckets.select("doc_id").distinct().hint("merge")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # of the texts only those that meet another are read from here on
+    texts = stage_table(texts.join(met, "doc_id", "left_semi"), "texts")
     reach = buckets.groupBy("doc_id").agg(F.sum("size").alias("reach"))
     ranked = buckets.join(reach, "doc_id")
     centre = ranked.groupBy("key").agg(F.max(F.struct("reach", (-F.col("doc_id")).alias("neg"), F.col("n"))).alias("c"))
@@ -299,16 +304,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
         .distinct()
     )
     stars = stage_table(stars, "stars")
-    links = stage_table(confirm(stars, docs, threshold), "links")
+    links = stage_table(confirm(stars, texts, threshold), "links")
     found = stage_table(components(links), "labels")
 
     labelled = buckets.join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
     rest = labelled.join(open_keys, "key", "left_semi").select("doc_id", "label").distinct()
-    pairs = missed_pairs(rest, docs, threshold)
+    pairs = missed_pairs(rest, texts, threshold)
     tried = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = stage_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = stage_table(confirm(pairs, docs, threshold), "links")
+    more = stage_table(confirm(pairs, texts, threshold), "links")
     if more.limit(1).count():
         joined = found.select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
         found = stage_table(components(joined.unionByName(more)), "labels")
