@@ -1,2 +1,80 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Queries of the document operators over the driver's tables: pages and documents stand in for papers."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import documents as D
+
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages with their h1-h6 elements as markdown headings; ten pages make a paper."""
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), "[\\r\\n]", " ")
+    text = html
+    for k in range(1, 7):
+        text = F.regexp_replace(text, f"<h{k}>([^<]*)</h{k}>", "\n" + "#" * k + " $1\n")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") % 25).alias("paper_id"), F.col("page_id").alias("page"), text.alias("markdown"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("paper_id"), F.col("doc_id").alias("page"), F.col("text").alias("markdown"))
+
+
+def q_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.sections(_markdown(spark, sf_dir)).select("paper_id", "page", "level", "title")
+
+
+def q_text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.text_layer(_texts(spark, sf_dir)).select("paper_id", "pages", "empty_pages", "status", "has_table")
+
+
+def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.quality(_texts(spark, sf_dir)).select("paper_id", "text", "footnotes", "tables", "overall", F.size("warnings").alias("n_warnings"))
+
+
+def q_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return b.join(other, "item_id").select("item_id", F.round(D.title_similarity(F.col("text"), F.col("other")), 9).alias("similarity"))
+
+
+def q_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = D.packet("page:10-40", _texts(spark, sf_dir), budget=3000)
+    return got.select("paper_id", "n_chars", "truncated", F.sha2("body", 256).alias("body_sha256"))
+
+
+def q_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.packet("toc", _markdown(spark, sf_dir)).select("paper_id", "n_chars", "truncated")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"document_sections": q_sections, "document_text_layer": q_text_layer, "document_quality": q_quality, "title_similarity": q_similarity,
+            "document_packet": q_packet, "document_toc": q_toc}
+
+
+def oracle_sql() -> dict[str, str]:
+    tokens = lambda c: f"list_distinct(list_filter(string_split(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9 ]', '', 'g'), ' '), lambda w: w <> ''))"
+    layer = r"""
+g AS (
+  SELECT source AS paper_id, count(*) AS pages, sum(CASE WHEN length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) < 20 THEN 1 ELSE 0 END)::BIGINT AS empty_pages,
+         bool_or(regexp_matches(coalesce(text, ''), '(?m)^\s*\|(?:\s*:?-{3,}:?\s*\|)+\s*$')) AS has_table FROM documents GROUP BY 1),
+s AS (SELECT *, CASE WHEN empty_pages = 0 THEN 'ok' WHEN empty_pages < 0.5 * pages THEN 'degraded' ELSE 'failed' END AS status FROM g)"""
+    return {
+        "document_sections": """
+WITH h AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '[\\r\\n]', ' ', 'g'), '<h[1-6]>[^<]*</h[1-6]>')) AS e FROM pages),
+k AS (SELECT page_id, substr(e, 3, 1)::INT AS level, substr(e, 5, length(e) - 9) AS raw FROM h WHERE substr(e, 3, 1) = substr(e, length(e) - 1, 1))
+SELECT page_id % 25 AS paper_id, page_id AS page, level, trim(raw) AS title FROM k WHERE trim(raw) <> ''""",
+        "document_text_layer": f"WITH {layer} SELECT paper_id, pages, empty_pages, status, has_table FROM s",
+        "document_quality": f"WITH {layer} SELECT paper_id, status AS text, 'not-run' AS footnotes, 'not-run' AS tables, status AS overall, "
+        "(CASE WHEN empty_pages > 0 THEN 1 ELSE 0 END + CASE WHEN has_table THEN 1 ELSE 0 END)::INT AS n_warnings FROM s",
+        "title_similarity": f"""
+WITH p AS (SELECT a.item_id, {tokens('a.text')} AS x, {tokens('b.text')} AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
+SELECT item_id, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END, 9) AS similarity FROM p""",
+        "document_packet": """
+WITH b AS (SELECT source AS paper_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS body FROM documents WHERE doc_id BETWEEN 10 AND 40 GROUP BY 1)
+SELECT paper_id, length(body)::INT AS n_chars, length(body) > 3000 AS truncated,
+       sha256(CASE WHEN length(body) > 3000 THEN substr(body, 1, 3000) || chr(10) || chr(10) || '[TRUNCATED at budget 3000 chars (full content: ' || length(body) || ' chars)]' ELSE body END) AS body_sha256 FROM b""",
+    }
