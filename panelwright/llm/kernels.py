@@ -110,7 +110,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[n
     counts = np.diff(first)
     n = len(words)
     rolled = np.zeros(n, _U)
-    for k in range(size):
+    for k in range(min(size, n)):
         part = words * _U(powers(_BASE ^ 0x5851F42D4C957F2C, size)[k + 1])
         rolled[: n - k] += part[k:] if k else part
     out_counts = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
