@@ -185,8 +185,9 @@ def candidates(docs: DataFrame) -> DataFrame:
 def fit_votes(counts: dict[tuple[int, str], int], rounds: int = ROUNDS) -> dict[tuple[int, str], float]:
     """Log-odds of each (kind, votes) by expectation-maximisation over labeler reliabilities.
 
-    Every labeler has, for each kind, chances of its three votes under both truths.  The first posteriors
-    are the majority's; counts are smoothed, so a labeler that always abstains weighs nothing.
+    Every labeler has, for each kind, chances of a yes and a no under both truths; where it abstains it
+    says nothing, so what it cannot see is not held against a span.  The first posteriors are the
+    majority's, and counts are smoothed.
     """
     odds: dict[tuple[int, str], float] = {}
     for kind in {k for k, _ in counts}:
@@ -195,16 +196,17 @@ def fit_votes(counts: dict[tuple[int, str], int], rounds: int = ROUNDS) -> dict[
         for _ in range(rounds):
             total = sum(n for _, n, _ in rows)
             prior = (sum(p * n for p, (_, n, _) in zip(post, rows, strict=True)) + 1) / (total + 2)
-            chance = [[{-1: 1.0, 0: 1.0, 1: 1.0} for _ in range(VOTES)] for _ in range(2)]
+            chance = [[{-1: 1.0, 1: 1.0} for _ in range(VOTES)] for _ in range(2)]
             for p, (v, n, _) in zip(post, rows, strict=True):
                 for j in range(VOTES):
-                    chance[1][j][v[j]] += p * n
-                    chance[0][j][v[j]] += (1 - p) * n
+                    if v[j]:
+                        chance[1][j][v[j]] += p * n
+                        chance[0][j][v[j]] += (1 - p) * n
             scale = [[sum(c.values()) for c in side] for side in chance]
             logit = []
             for v, _, _ in rows:
                 x = math.log(prior / (1 - prior))
-                for j in range(VOTES):
+                for j in (j for j in range(VOTES) if v[j]):
                     x += math.log(chance[1][j][v[j]] / scale[1][j]) - math.log(chance[0][j][v[j]] / scale[0][j])
                 logit.append(max(-30.0, min(30.0, x)))
             post = [1 / (1 + math.exp(-x)) for x in logit]
