@@ -45,6 +45,8 @@ CONTEXT = (
 )
 BEFORE, AFTER = 40, 20
 VOTES, ROUNDS = 5, 50
+#: Log-odds from which a wider candidate is added.
+THRESHOLD = 2.0
 #: Bound of what is collected: kinds * 3**votes patterns, times the levels of the features.
 MAX_PATTERNS = len(KINDS) * 3**VOTES
 LEVELS = 8
@@ -144,7 +146,9 @@ def _candidate(kind: int, x: Column, base: bool, text: Column) -> Column:
     good, poor = CONTEXT[kind]
     around = (before.rlike(good), before.rlike(poor))
     edge = before.rlike(r"""(?:^|[\s(\[:;,|<>*#$%&"'])$""") & after.rlike(r"""^(?:$|[\s)\]:;,.|!?<>*#$%&"'])""")
-    votes = [_vote(F.lit(base), false), _vote(*shape), _vote(*listed), _vote(*around), _vote(edge, ~edge)]
+    # of the base patterns: a match that failed their checks is a no, another form is no answer
+    failed = (n >= 16) & ~_luhn(digits) if kind == 2 else false
+    votes = [_vote(F.lit(base), failed), _vote(*shape), _vote(*listed), _vote(*around), _vote(edge, ~edge)]
     size = F.least(F.length(m) / 6, F.lit(LEVELS - 1)).cast("int")
     share = F.least(n * 4 / F.length(m), F.lit(4)).cast("int")
     seps = F.least(F.length(m) - F.length(F.regexp_replace(m, r"[\x20().-]", "")), F.lit(LEVELS - 1)).cast("int")
@@ -243,7 +247,7 @@ def _lookup(table: dict[str, float], key: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*entries), key), F.lit(0.0))
 
 
-def find_pii(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
+def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans and found.
 
     ``found`` has kind, start, end, base and score of every span, by kind and place.  Base spans always stay; a wider
@@ -283,7 +287,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
     )
 
 
-def mask(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
+def mask(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets; rows are joined by doc_id."""
     hits = find_pii(docs, threshold).filter(F.size("found") > 0).select("doc_id", F.sort_array(F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))).alias("_f")).dropDuplicates(["doc_id"])
 
