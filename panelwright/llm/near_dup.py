@@ -31,6 +31,7 @@ BINS = 128
 ROWS = 4
 STAR_PART = 512
 BLOCK = 1024
+PAIRS_HELD = 1 << 19
 
 _U = np.uint64
 
@@ -209,7 +210,7 @@ def _meet(threshold: int):
     def pairs(x: pd.DataFrame) -> pd.DataFrame:
         key = pd.factorize(pd.MultiIndex.from_frame(x[["token", "i", "j"]]))[0] if len(x) else np.zeros(0, int)
         doc, lab, n, pos, blk, bi, bj = (x[c].to_numpy() for c in ("doc_id", "label", "n", "pos", "blk", "i", "j"))
-        out, left, shift = [], np.arange(len(x)), 1
+        out, held, left, shift = [], 0, np.arange(len(x)), 1
         while True:
             left = left[left + shift < len(x)]
             left = left[key[left] == key[left + shift]]
@@ -222,7 +223,11 @@ def _meet(threshold: int):
             ok = (1 + np.minimum(n[p] - pos[p], n[q] - pos[q]) >= need) & (100 * np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q]))
             p, q = doc[p[ok]], doc[q[ok]]
             if len(p):
-                out.append(np.unique(np.column_stack([np.minimum(p, q), np.maximum(p, q)]), axis=0))
+                out.append(np.column_stack([np.minimum(p, q), np.maximum(p, q)]))
+                held += len(p)
+            if held > PAIRS_HELD:  # one pair meets at many shingles
+                out = [np.unique(np.concatenate(out), axis=0)]
+                held = len(out[0]) // 2
             shift += 1
         got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
