@@ -279,11 +279,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batc
     family = IndexFamily(spark)
     for b in range(batches):
         family.add(found.filter(F.pmod(F.xxhash64("d", "t"), F.lit(batches)) == b).select("g"))
-    again = stage_table(found.join(family.shared(), "g", "left_semi"), "again")
+    # written first, so that both sides of the join are plain exchanges and hot heads can be split
+    again = stage_table(found.join(stage_table(family.shared(), "shared"), "g", "left_semi"), "again")
 
     classes = again.groupBy("g", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "lo", "m")).alias("r"))
     classes = stage_table(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
-    many = classes.groupBy("g").agg(F.count("*").alias("nc")).filter("nc > 1")
+    many = stage_table(classes.groupBy("g").agg(F.count("*").alias("nc")).filter("nc > 1"), "many")
     look = classes.join(many, "g").select("g", "k", "n", (F.col("nc") > HOT).alias("hot"), "r.*")
     wanted = look.groupBy("d", "t").agg(F.collect_list(F.struct("g", "k", "n", "hot", "lo", "m")).alias("w"))
     # every copy of a repeated row shows its contexts; that changes nothing, as their classes count twice anyway
