@@ -20,6 +20,7 @@ MAX_REPEAT_PERCENT = 30
 FEATURES = ("x1", "x2", "x3", "x4")
 #: Share of a group in the half-sample, concentration steps, least size of a group.
 SHARE, STEPS, MIN_GROUP = 0.75, 4, 60
+MAX_BROADCAST, SALTS = 20_000, 32
 #: Smallest standard deviation of each transformed statistic: what ordinary texts vary by anyway.
 FLOORS = (0.08, 0.05, 0.15, 0.15)
 #: Chance that a row of a normal group lies beyond the cutoff.
@@ -118,6 +119,19 @@ def _by(*cols: str):
     return Window.partitionBy(*cols)
 
 
+def _attach(rows: DataFrame, params: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a table of one row a group, already written, to the rows of the groups.
+
+    Up to ``MAX_BROADCAST`` groups it is broadcast; beyond that both sides are salted.  Either way a
+    group with a third of all rows does not meet in one task, and what follows aggregates before it shuffles.
+    """
+    if params.count() <= MAX_BROADCAST:
+        return rows.join(F.broadcast(params), keys, how)
+    salted = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def _moments(rows: DataFrame) -> DataFrame:
     """Means and covariances by group from plain sums of deviations y_i from the centre before."""
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
@@ -161,7 +175,8 @@ def _start(rows: DataFrame) -> DataFrame:
     """Medians and median absolute deviations of each group, as a diagonal first estimate."""
     mid = lambda c: F.percentile_approx(c, 0.5, 10_000)
     med = rows.groupBy("g").agg(F.count("*").alias("m"), *[mid(x).alias(f"m_{x}") for x in FEATURES])
-    off = rows.join(med, "g").groupBy("g").agg(*[mid(F.abs(F.col(x) - F.col(f"m_{x}"))).alias(f"d_{x}") for x in FEATURES])
+    med = stage_table(med, "medians")
+    off = _attach(rows, med, ["g"]).groupBy("g").agg(*[mid(F.abs(F.col(x) - F.col(f"m_{x}"))).alias(f"d_{x}") for x in FEATURES])
     p = med.join(off, "g")
     zero = {f"s_{i}_{j}": (F.col(f"d_{a}") * 1.4826) ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0) for i, a in enumerate(FEATURES) for j in range(i + 1)}
     return _factor(p.withColumns(zero))
@@ -177,9 +192,9 @@ def estimates(stats: DataFrame) -> DataFrame:
     rows = stats.filter("NOT base_failed").select("g", *FEATURES)
     params = stage_table(_start(rows), "mcd")
     for _ in range(STEPS):
-        at = _with_distance(rows.join(params, "g")).select("g", "d2", *[f"m_{x}" for x in FEATURES], *[f"y_{i}" for i in range(len(FEATURES))])
-        edge = at.groupBy("g").agg(F.percentile_approx("d2", SHARE, 10_000).alias("edge"))
-        params = stage_table(_moments(at.join(edge, "g").filter("d2 <= edge")), "mcd")
+        at = _with_distance(_attach(rows, params, ["g"])).select("g", "d2", *[f"m_{x}" for x in FEATURES], *[f"y_{i}" for i in range(len(FEATURES))])
+        edge = stage_table(at.groupBy("g").agg(F.percentile_approx("d2", SHARE, 10_000).alias("edge")), "edges")
+        params = stage_table(_moments(_attach(at, edge, ["g"]).filter("d2 <= edge")), "mcd")
     return params
 
 
@@ -199,9 +214,9 @@ def judge(docs: DataFrame) -> DataFrame:
         src = src.withColumn(f"_{c}", F.coalesce(F.col(c).cast("string"), F.lit("\x00")) if c in docs.columns else F.lit(""))
     stats = base_counts(src.withColumn("_key", F.xxhash64("text"))).drop("text").withColumn("base_failed", base_failed()).withColumns(_features())
     stats = stage_table(stats, "quality")
-    keyed = stats.join(_groups(stats), ["_lang", "_source"], "left")
+    keyed = _attach(stats, stage_table(_groups(stats), "groups"), ["_lang", "_source"], "left")
     params = estimates(keyed).filter(F.col("m") >= F.lit(int(SHARE * MIN_GROUP))).drop("m")
-    out = _with_distance(keyed.join(params, "g", "left")).withColumnRenamed("d2", "distance")
+    out = _with_distance(_attach(keyed, stage_table(params, "mcd"), ["g"], "left")).withColumnRenamed("d2", "distance")
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= F.lit(CUTOFF)))
     return out.withColumn("kept", kept).select(*[c for c in src.columns if c not in ("text", "_lang", "_source")], "_key", *own[:6], "base_failed", "distance", "kept")
 

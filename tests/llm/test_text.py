@@ -53,6 +53,12 @@ def test_outliers_go_and_prose_stays(spark, none):
     assert quality.judge(none).count() == 0 and quality.keep_good(none).count() == 0
 
 
+def test_salted_joins_give_the_same_verdicts(docs, monkeypatch):
+    want = {r["doc_id"]: (r["kept"], round(r["distance"] or 0, 6)) for r in quality.judge(docs).collect()}
+    monkeypatch.setattr(quality, "MAX_BROADCAST", 0)
+    assert {r["doc_id"]: (r["kept"], round(r["distance"] or 0, 6)) for r in quality.judge(docs).collect()} == want
+
+
 def test_chi_square_values():
     assert abs(quality._chi2_cdf(9.487729, 4) - 0.95) < 1e-6 and abs(quality._chi2_sf_inverse(0.05, 4) - 9.487729) < 1e-4
 
