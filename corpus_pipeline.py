@@ -26,10 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; a document of nothing else goes as a whole.  n_chars follows the text."""
+    """Later repeated runs of three lines or of more than 50 words go; a document of nothing else goes as a whole.  n_chars follows the text."""
     common.release(spark, SCOPE)
     with common.scope(SCOPE):
-        got = line_dedup.dedup_lines(docs).filter("n_removed < n_lines OR n_removed = 0")
+        got = line_dedup.dedup_lines(docs, long_words=line_dedup.LONG_WORDS).filter("n_removed < n_lines OR n_removed = 0")
     length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return got.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_LINES = 3
+#: A shorter run counts too, where the caller asks for it, if it has more words than this.
+LONG_WORDS = 50
+WORD = r"[^\x20\x09-\x0D]+"
 BLANK = " \t\n\x0b\x0c\r"
 #: A newline that no blank line follows: a unit is a line together with the blank lines after it.
 CUT = r"\n(?![\x20\x09\x0b-\x0d]*(?:\n|\z))"
@@ -33,7 +36,7 @@ def _flags(runs: Column, n: Column) -> Column:
     return F.concat(F.flatten(F.transform(runs, piece)), F.array_repeat(F.lit(False), n - 1 - last))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """``docs`` with repeated runs of lines taken out of ``text``, plus n_lines and n_removed.
 
     Lines are compared without surrounding white space; blank lines belong to the line before.
@@ -44,6 +47,10 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     repeated run of ``min_lines`` lines or more is found, the first occurrence stays, and shorter
     repeats stay.  Within one document later repeats go as well.
 
+    With ``long_words`` windows of fewer lines are fingerprinted in the same way if their words
+    together exceed it, whatever the number of lines of the document: then every repeated run of
+    ``min_lines`` lines or of more than ``long_words`` words is found.
+
     A null text stays null with 0 lines; an empty text is one blank line.  Rows with the same doc_id
     and text are one document and get the same decision; a null doc_id comes last in the order.  Other
     columns pass through, columns named n_lines and n_removed are replaced; an empty table
@@ -55,26 +62,37 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         "_t": F.xxhash64("text"),
     })
     units = F.split(F.col("text"), CUT)
-    hashes = src.select("_d", "_t", F.transform(units, lambda u: F.xxhash64(F.btrim(u, F.lit(BLANK)))).alias("h")).filter(F.size("h") >= t)
+    words = [] if long_words is None else [F.transform(units, lambda u: F.regexp_count(u, F.lit(WORD))).alias("w")]
+    hashes = src.select("_d", "_t", F.transform(units, lambda u: F.xxhash64(F.btrim(u, F.lit(BLANK)))).alias("h"), *words)
+    if long_words is None:
+        hashes = hashes.filter(F.size("h") >= t)
 
-    def window(j):
-        part = F.slice(F.col("h"), j + 1, t)
+    def window(j, n):
+        part = F.slice(F.col("h"), j + 1, n)
         low = F.array_min(part)
         return F.struct(
-            j.alias("j"), low.alias("fp"), (j + F.array_position(part, low).cast("int") - 1).alias("at"),
-            F.xxhash64(part).alias("g1"), F.xxhash64(F.lit(t), F.reverse(part)).alias("g2"),
+            j.alias("j"), F.lit(n).alias("n"), low.alias("fp"), (j + F.array_position(part, low).cast("int") - 1).alias("at"),
+            F.xxhash64(part).alias("g1"), F.xxhash64(F.lit(n), F.reverse(part)).alias("g2"),
         )
 
-    wins = hashes.select("_d", "_t", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - t), window)).alias("w")).select("_d", "_t", "w.*")
+    def windows(n):
+        js = F.when(F.size("h") >= n, F.sequence(F.lit(0), F.size("h") - n)).otherwise(F.array().cast("array<int>"))
+        if n < t:
+            js = F.filter(js, lambda j: sum((F.get(F.col("w"), j + k) for k in range(1, n)), F.get(F.col("w"), j)) > long_words)
+        return F.transform(js, lambda j: window(j, n))
+
+    sizes = [t] if long_words is None else range(1, t + 1)
+    wins = hashes.select("_d", "_t", F.explode(F.concat(*[windows(n) for n in sizes])).alias("w")).select("_d", "_t", "w.*")
     shared = (
         wins.groupBy("fp").agg(F.min(F.struct("_d", "_t", "at")).alias("a"), F.max(F.struct("_d", "_t", "at")).alias("b"))
         .filter("a <> b").select("fp")
     )
-    wins = wins.join(shared, "fp", "left_semi").select("_d", "_t", "j", "g1", "g2")
+    wins = wins.join(shared, "fp", "left_semi").select("_d", "_t", "j", "n", "g1", "g2")
     first = wins.groupBy("g1", "g2").agg(F.min(F.struct("_d", "_t", "j")).alias("first"), F.max(F.struct("_d", "_t", "j")).alias("last")).filter("first <> last").select("g1", "g2", "first")
     later = wins.join(first, ["g1", "g2"]).filter(F.struct("_d", "_t", "j") > F.col("first"))
-    gone = later.groupBy("_d", "_t").agg(F.array_sort(F.collect_set("j")).alias("starts"))
-    gone = gone.select("_d", "_t", _runs(F.col("starts"), t).alias("runs"))
+    gone = later.groupBy("_d", "_t").agg(F.collect_set(F.struct("j", "n")).alias("wins"))
+    lines = F.flatten(F.transform("wins", lambda w: F.sequence(w["j"], w["j"] + w["n"] - 1)))
+    gone = gone.select("_d", "_t", F.array_sort(F.array_distinct(lines)).alias("lines")).select("_d", "_t", _runs(F.col("lines"), 1).alias("runs"))
 
     joined = src.join(gone, ["_d", "_t"], "left").withColumn("_u", units)
     flags = _flags(F.col("runs"), F.size("_u"))

@@ -224,6 +224,32 @@ def test_blank_lines_and_short_repeats(spark):
     assert got[4].strip() == ""
 
 
+def brute_long_lines(rows, t=3, bound=50):
+    """Kept texts where a run goes if it has t lines or more than bound words; one line a unit, no blank lines."""
+    first, units = {}, {d: text.split("\n") for d, text in sorted(rows)}
+    wins = lambda u: ((j, n) for n in range(1, t + 1) for j in range(len(u) - n + 1) if n == t or sum(len(WORD.findall(x)) for x in u[j : j + n]) > bound)
+    for d, u in units.items():
+        for j, n in wins(u):
+            first.setdefault(tuple(u[j : j + n]), (d, j))
+    gone = {d: {k for j, n in wins(u) if first[tuple(u[j : j + n])] != (d, j) for k in range(j, j + n)} for d, u in units.items()}
+    return {d: ("\n".join(x for i, x in enumerate(u) if i not in gone[d]), len(u), len(gone[d])) for d, u in units.items()}
+
+
+def test_long_repeats_of_one_and_two_lines(spark):
+    rng = random.Random(4)
+    line = lambda n: prose(rng, n, 999)
+    long, edge, pair, short = line(52), line(50), [line(30), line(21)], [line(30), line(20)]
+    rows = [(1, [line(9), long, line(9)]), (2, [long]), (3, [line(9), long]), (4, pair), (5, [line(9), *pair, line(9)]), (6, [line(9), pair[1], pair[0]]),
+            (7, short), (8, [*short, line(9)]), (9, [edge]), (10, [edge]), (11, [long, line(9), long]), (12, [line(9), line(9), line(9)])]
+    rows += [(20 + i, [rng.choice([long, edge, *pair, *short, line(12)]) for _ in range(rng.randrange(1, 9))]) for i in range(60)]
+    rows = [(d, "\n".join(u)) for d, u in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(df, long_words=line_dedup.LONG_WORDS).collect()}
+    assert got == brute_long_lines(rows)
+    assert [got[d][2] for d in range(1, 13)] == [0, 1, 1, 0, 2, 0, 0, 0, 0, 0, 2, 0]
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect() if r["doc_id"] < 13}[3] == rows[2][1]
+
+
 # ---- decontamination
 
 

@@ -43,6 +43,13 @@ def test_stages_in_turn(spark, folder, corpus, tmp_path):
     assert {r["doc_id"] for r in seen[4][2]} == set(kept(3))
 
 
+def test_line_stage_takes_long_single_lines(spark):
+    line = " ".join(f"w{i}" for i in range(52))
+    rows = [(1, line, 999), (2, f"lead\n{line}", 999), (3, line, 999)]
+    got = corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "").collect()
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in got} == {1: (line, 999), 2: ("lead", 4)}
+
+
 def test_run_and_queries_on_whole_tables(spark, folder):
     final = corpus_pipeline.run(spark, folder)
     assert final.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and final.count() > 30
