@@ -19,7 +19,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 FEATURES = ("x1", "x2", "x3", "x4")
 #: Share of a group in the half-sample, concentration steps, least size of a group.
-SHARE, STEPS, MIN_GROUP = 0.75, 4, 60
+SHARE, STEPS, MIN_GROUP = 0.5, 4, 60
 MAX_BROADCAST, SALTS = 20_000, 32
 #: Smallest standard deviation of each transformed statistic: what ordinary texts vary by anyway.
 FLOORS = (0.08, 0.05, 0.15, 0.15)

@@ -53,6 +53,16 @@ def test_outliers_go_and_prose_stays(spark, none):
     assert quality.judge(none).count() == 0 and quality.keep_good(none).count() == 0
 
 
+@pytest.mark.parametrize("percent", [30, 45])
+def test_a_group_with_much_junk_does_not_hide_it(spark, percent):
+    rng = random.Random(percent)
+    n = 400 * percent // 100
+    rows = [(i, prose(rng, rng.choice([25, 80, 300])), "en", "s0") for i in range(400 - n)]
+    rows += [(1000 + i, " ".join(w + rng.choice(["#", "$%", "", "***"]) for w in prose(rng, rng.choice([30, 80])).split()), "en", "s0") for i in range(n)]
+    kept = {r["doc_id"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).filter("kept").collect()}
+    assert kept == set(range(400 - n))
+
+
 def test_salted_joins_give_the_same_verdicts(docs, monkeypatch):
     want = {r["doc_id"]: (r["kept"], round(r["distance"] or 0, 6)) for r in quality.judge(docs).collect()}
     monkeypatch.setattr(quality, "MAX_BROADCAST", 0)
