@@ -110,7 +110,7 @@ def _groups(stats: DataFrame) -> DataFrame:
     n1 = stats.filter("NOT base_failed").groupBy("_lang", "_source").agg(F.count("*").alias("m"))
     n1 = n1.withColumn("rest", F.sum(F.when(F.col("m") < MIN_GROUP, F.col("m"))).over(_by("_lang")))
     key = F.when(F.col("m") >= MIN_GROUP, fine).when(F.col("rest") >= MIN_GROUP, F.to_json(F.array("_lang"))).otherwise(F.lit("[]"))
-    return n1.select("_lang", "_source", key.alias("g"))
+    return n1.select("_lang", "_source", key.alias("g"), "m")
 
 
 def _by(*cols: str):
@@ -182,16 +182,17 @@ def _start(rows: DataFrame) -> DataFrame:
     return _factor(p.withColumns(zero))
 
 
-def estimates(stats: DataFrame) -> DataFrame:
+def estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
     """Minimum-covariance-determinant estimates by group: one row a group.
 
     From the medians, each concentration step keeps the ``SHARE`` of a group nearest to the present
     centre and takes its mean and covariance, which never enlarges the determinant.  The share's
-    edge is a bounded quantile sketch, so no group is gathered in one task.
+    edge is a bounded quantile sketch, so no group is gathered in one task.  With no ``steps`` the
+    first estimate stays.
     """
     rows = stats.filter("NOT base_failed").select("g", *FEATURES)
     params = stage_table(_start(rows), "mcd")
-    for _ in range(STEPS):
+    for _ in range(steps):
         at = _with_distance(_attach(rows, params, ["g"])).select("g", "d2", *[f"m_{x}" for x in FEATURES], *[f"y_{i}" for i in range(len(FEATURES))])
         edge = stage_table(at.groupBy("g").agg(F.percentile_approx("d2", SHARE, 10_000).alias("edge")), "edges")
         params = stage_table(_moments(_attach(at, edge, ["g"]).filter("d2 <= edge")), "mcd")
@@ -203,8 +204,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
     A row passes the base rules unless it has fewer than 20 words or more than 30 per cent of its words
     stand in repeated eight-word windows.  Of the rest those whose squared robust distance in their
-    group exceeds the chi-square cutoff are rejected.  Null language or source is a value of its own; a
-    pooled group with under ``MIN_GROUP`` rows rejects nobody.  Null texts have no words
+    group exceeds the chi-square cutoff are rejected.  Null language or source is a value of its own.  Where
+    the last pool has under ``MIN_GROUP`` rows, they are judged by the estimates of all rows; a table with
+    under ``MIN_GROUP`` rows in all, by its medians and median absolute deviations with the floors.  Null texts have no words
     and fail the base rules; repeated rows get equal verdicts; an empty table gives an empty
     result.  Columns of the names added are replaced.
     """
@@ -214,8 +216,13 @@ def judge(docs: DataFrame) -> DataFrame:
         src = src.withColumn(f"_{c}", F.coalesce(F.col(c).cast("string"), F.lit("\x00")) if c in docs.columns else F.lit(""))
     stats = base_counts(src.withColumn("_key", F.xxhash64("text"))).drop("text").withColumn("base_failed", base_failed()).withColumns(_features())
     stats = stage_table(stats, "quality")
-    keyed = _attach(stats, stage_table(_groups(stats), "groups"), ["_lang", "_source"], "left")
-    params = estimates(keyed).filter(F.col("m") >= F.lit(int(SHARE * MIN_GROUP))).drop("m")
+    groups = stage_table(_groups(stats), "groups")
+    total, left = (v or 0 for v in groups.agg(F.sum("m"), F.sum(F.when(F.col("g") == "[]", F.col("m")))).first())
+    keyed = _attach(stats, groups.drop("m"), ["_lang", "_source"], "left")
+    rows = keyed
+    if 0 < left < MIN_GROUP:
+        rows = keyed.unionByName(keyed.filter("g <> '[]'").withColumn("g", F.lit("[]")))
+    params = estimates(rows, STEPS if total >= MIN_GROUP else 0).drop("m")
     out = _with_distance(_attach(keyed, stage_table(params, "mcd"), ["g"], "left")).withColumnRenamed("d2", "distance")
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= F.lit(CUTOFF)))
     return out.withColumn("kept", kept).select(*[c for c in src.columns if c not in ("text", "_lang", "_source")], "_key", *own[:6], "base_failed", "distance", "kept")

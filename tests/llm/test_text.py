@@ -63,6 +63,16 @@ def test_a_group_with_much_junk_does_not_hide_it(spark, percent):
     assert kept == set(range(400 - n))
 
 
+@pytest.mark.parametrize("others", [300, 20])
+def test_leftover_rows_and_tiny_tables_are_judged(spark, others):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.choice([25, 80])), "en", "s0") for i in range(others)]
+    rows += [(1000 + i, " ".join(w + "###" for w in prose(rng, 80).split()), "xx", None) for i in range(5)]
+    rows += [(2000 + i, prose(rng, 40), None, None) for i in range(5)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == {*range(others), *range(2000, 2005)} and all(r["distance"] is not None for r in got)
+
+
 def test_salted_joins_give_the_same_verdicts(docs, monkeypatch):
     want = {r["doc_id"]: (r["kept"], round(r["distance"] or 0, 6)) for r in quality.judge(docs).collect()}
     monkeypatch.setattr(quality, "MAX_BROADCAST", 0)
