@@ -35,11 +35,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest doc_id."""
+    """One document of each group of near duplicates stays: that with the smallest doc_id, null last."""
     common.release(spark, SCOPE)
     with common.scope(SCOPE):
-        kept = near_dup.near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+        keyed = docs.withColumn("_row", near_dup.row_id())
+        kept = near_dup.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_row"))
+    return keyed.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

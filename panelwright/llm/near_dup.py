@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -69,12 +69,12 @@ def signature(distinct: np.ndarray) -> np.ndarray:
     return sig
 
 
-SKETCH = "doc_id long, n long, f1 long, f2 long, sig binary"
+SKETCH = "doc_id long, bare boolean, n long, f1 long, f2 long, sig binary"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
+        ids, bare = batch.column(0), batch.column(2)
         for first, data, offs in K.slices(batch, "text"):
             hashes, at = K.shingles(data, offs)
             rows = len(at) - 1
@@ -92,13 +92,21 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 f2[r] = (h * h * _U(0x9E3779B97F4A7C15) + (h >> _U(7))).sum(dtype=_U)
                 sigs[r] = signature(h).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, rows), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "sig"],
+                [ids.slice(first, rows), bare.slice(first, rows), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sigs, pa.binary())],
+                names=["doc_id", "bare", "n", "f1", "f2", "sig"],
             )
 
 
+def row_id() -> Column:
+    """doc_id, or for a null one a number of 2^62 or more made from the text, so it comes after usual ids."""
+    from_text = F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 2).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col("doc_id").cast("long"), from_text)
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketches, SKETCH)
+    """One row a document; ``bare`` marks those without a doc_id, which have their ``row_id`` in its place."""
+    src = docs.select(row_id().alias("doc_id"), F.col("text").cast("string"), F.col("doc_id").cast("long").isNull().alias("bare"))
+    return src.mapInArrow(_sketches, SKETCH)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +290,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
 
     Null, empty and wordless texts have an empty set and are linked with nothing.  Documents
     with fewer than five words have their whole sequence as the one shingle.  Repeated rows with
-    one doc_id are rows of one document and come back as often.  An empty table gives an empty result.
+    one doc_id are rows of one document and come back as often.  Rows with a null doc_id and one text
+    are a document too; it is linked like any other under its ``row_id``, which stands in component_id where
+    no member has an id, and comes back with a null doc_id.  An empty table gives an empty result.
     Other columns are left aside.
     """
     rows = stage_table(sketch(docs), "sketch")
@@ -295,7 +305,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = stage_table(buckets.join(sizes, "key"), "buckets")
     met = buckets.select("doc_id").distinct().hint("merge")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = docs.select(row_id().alias("doc_id"), F.col("text").cast("string"))
     # of the texts only those that meet another are read from here on
     texts = stage_table(texts.join(met, "doc_id", "left_semi"), "texts")
     reach = buckets.groupBy("doc_id").agg(F.sum("size").alias("reach"))
@@ -324,9 +334,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
         found = stage_table(components(joined.unionByName(more)), "labels")
 
     label = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"))
-    got = rows.select("doc_id", "n", "f1", "f2").join(label, ["n", "f1", "f2"], "left")
+    got = rows.select("doc_id", "bare", "n", "f1", "f2").join(label, ["n", "f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return got.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    own = F.when(~F.col("bare"), F.col("doc_id")).alias("doc_id")
+    return got.select(own, F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import queries as llm
+from panelwright.llm import near_dup, queries as llm
 from panelwright.llm.common import release, shared_dir
 
 from .test_dedup import brute_components, brute_leaks, brute_lines
@@ -50,6 +50,18 @@ def test_line_stage_takes_long_single_lines(spark):
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in got} == {1: (line, 999), 2: ("lead", 4)}
 
 
+def test_near_dedup_stage_with_null_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(5, text("a")), (None, text("a")), (None, text("b")), (None, text("c")), (None, text("c") + " more"), (7, text("d")), (None, None), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+    one = [x for x in got if x[1] and x[1].startswith("c0")]
+    assert len(one) == 1 and one[0] in rows
+    assert sorted(map(str, set(got) - set(one))) == sorted(map(str, [rows[0], rows[2], rows[5], rows[6], rows[7]])) and len(got) == 6
+    every = near_dup.near_duplicates(df).collect()
+    assert len(every) == 8 and sum(r["doc_id"] is None for r in every) == 5 and all(r["kept"] is not None for r in every) and sum(r["kept"] for r in every) == 6
+
+
 def test_run_and_queries_on_whole_tables(spark, folder):
     final = corpus_pipeline.run(spark, folder)
     assert final.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and final.count() > 30
