@@ -170,18 +170,18 @@ def confirm(edges: DataFrame, docs: DataFrame, threshold: int = 75) -> DataFrame
     return rows.mapInArrow(_confirm(threshold), "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(doc_id, label) of all nodes of the edges (a, b): the smallest node that each can reach.
 
     Alternates large-star and small-star steps, each of which keeps the components and adds at
-    most one edge per edge, until nothing changes; a written table cuts the lineage each round.
+    most one edge per edge, until nothing changes, however many rounds that takes; a written table cuts the lineage each round.
     """
     def canonical(e: DataFrame) -> DataFrame:
         return e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     e = stage_table(canonical(edges), "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

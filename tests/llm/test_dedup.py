@@ -89,6 +89,13 @@ def test_chains_and_links_between_members_of_a_hub(spark):
     assert got_components(spark.createDataFrame(rows, "doc_id long, text string")) == want
 
 
+def test_components_go_on_until_edges_settle(spark, monkeypatch):
+    """A round number bounded by a range, here cut to one, must not end the loop early."""
+    monkeypatch.setattr(near_dup, "range", lambda *a: [0], raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in random.Random(6).sample(range(40), 40)], "a long, b long")
+    assert {(r["doc_id"], r["label"]) for r in near_dup.components(edges).collect()} == {(i, 0) for i in range(41)}
+
+
 def test_prefix_filter_loses_no_link(spark):
     rng = random.Random(8)
     rows = []
