@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 BATCH_CHARS = 1 << 18
+#: No place this near a chunk's cut end is trusted; patterns look ahead by far less.
+EDGE_CHARS = 32
 
 _loaded: dict[str, object] = {}
 
@@ -29,82 +31,109 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-def _splice(text: str, a: list[tuple[int, int, int]], b: list[tuple[int, int, int]], low: int, high: int) -> tuple[int, int] | None:
-    """Where to leave ``a`` and enter ``b``; None if no place is proven stable.
+class _Chunk:
+    """The tokens of ``text[lo:hi]`` with places in the whole text."""
 
-    Both lists hold (id, start, end) in the text's own offsets.  A place is taken only inside a
-    run of at least eight tokens that both chunks have alike between ``low`` and ``high``, and only
-    at a token that follows white space: pre-tokenisation never joins what white space parts, so
-    what stands before such a place does not bear on what stands after it.
+    def __init__(self, t, text: str, lo: int, hi: int):
+        self.lo, self.hi = lo, hi
+        self.tokens = t.encode(text[lo:hi], add_special_tokens=False)
+        self.n = len(self.tokens)
+
+    def span(self, i: int) -> tuple[int, int]:
+        s, e = self.tokens.token_to_chars(i)
+        return s + self.lo, e + self.lo
+
+    def begins_word(self, i: int) -> bool:
+        """Whether token ``i`` begins a pre-token that follows another one; never so beside a special string."""
+        own, before = self.tokens.token_to_word(i), self.tokens.token_to_word(i - 1) if i else None
+        return own is not None and before is not None and own != before
+
+    def first_after(self, place: int) -> int:
+        """The number of the first token that begins at ``place`` or later."""
+        a, b = 0, self.n
+        while a < b:
+            m = (a + b) // 2
+            a, b = (m + 1, b) if self.span(m)[0] < place else (a, m)
+        return a
+
+
+def _splice(a: _Chunk, b: _Chunk) -> tuple[int, int] | None:
+    """Token numbers at which to leave ``a`` and enter ``b``; None if no place is proven stable.
+
+    Pre-tokenisation goes from left to right, so what follows a pre-token's beginning depends on
+    nothing before it, and tokens never cross pre-tokens.  A place is taken only where a pre-token
+    begins in both chunks, inside a run of at least eight tokens with the same places in both, and away from the end of ``a``,
+    which the characters cut off there could still change.
     """
-    at = {t[1]: i for i, t in enumerate(a) if t[1] > low and t[2] < high}
-    run: list[tuple[int, int]] = []
-    best: list[tuple[int, int]] = []
-    for j, t in enumerate(b):
-        i = at.get(t[1], -1)
-        if i >= 0 and a[i] == t:
-            if not run or run[-1] != (i - 1, j - 1):
-                run = []
-            run = [*run, (i, j)] if not run else (run.append((i, j)) or run)
+    i, j, best, run = a.first_after(b.lo), 0, [], []
+    while i < a.n and j < b.n:
+        x, y = a.span(i), b.span(j)
+        if x[1] > a.hi - EDGE_CHARS:
+            break
+        if x == y:
+            run.append((i, j))
             if len(run) > len(best):
                 best = run
         else:
             run = []
+        i, j = i + (x <= y), j + (y <= x)
     if len(best) < 8:
         return None
     middle = len(best) // 2
     for k in sorted(range(2, len(best) - 2), key=lambda k: abs(k - middle)):
         i, j = best[k]
-        if text[a[i][1] - 1].isspace() or text[a[i][1]].isspace():
+        if a.begins_word(i) and b.begins_word(j):
             return i, j
     return None
 
 
-def _at_gap(text: str, i: int, floor: int) -> int:
-    """The last place at or before ``i``, after ``floor``, where white space begins; else ``i``."""
-    for j in range(i, max(floor, i - 256), -1):
-        if text[j].isspace() and not text[j - 1].isspace():
-            return j
-    return i
+def _word_at(a: _Chunk, i: int, floor: int) -> int | None:
+    """The number of the last token at or before ``i``, after ``floor``, that begins a pre-token."""
+    while i > floor and not a.begins_word(i):
+        word = a.tokens.token_to_word(i)
+        first = a.tokens.word_to_tokens(word)[0] if word is not None else i
+        i = first if first < i else i - 1
+    return i if i > floor else None
+
+
+def _start_of_overlap(a: _Chunk, wide: int, skip: int) -> int | None:
+    """Where an overlap of about the last ``wide`` characters of ``a`` begins: at a pre-token, with another well inside."""
+    last = _word_at(a, a.first_after(a.hi - EDGE_CHARS) - 4, skip + 4)
+    if last is None:
+        return None
+    i = _word_at(a, min(a.first_after(a.hi - wide), last - 4), skip)
+    return None if i is None else a.span(i)[0]
 
 
 def count_tokens(text: str, t, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
     """The number of tokens that the library gives for the whole text.
 
-    Texts longer than ``chunk`` are encoded in overlapping chunks.  Neighbouring chunks are
-    spliced in the middle of a run of tokens with the same ids and offsets in both.  If a run
-    long enough is missing the overlap doubles, at worst until the chunk reaches the text's end.
-    A text that holds one of the added special strings is cut at no place inside one, since a
-    chunk's edge tokens never count.
+    Texts longer than ``chunk`` are encoded in overlapping chunks with offsets.  A chunk's
+    successor begins at one of its pre-tokens; the two are spliced in the middle of a run of tokens
+    alike in both, and the overlap widens until there is one.  Where a chunk has no such place (one pre-token
+    without end, or a tokenizer without pre-tokens), the chunk is made twice as long and encoded anew, at
+    worst until it is the whole text, so the work stays within a small multiple of encoding the text once.
+    Special strings are never cut through: a chunk's edge tokens don't count.
     """
     if len(text) <= chunk:
         return len(t.encode(text, add_special_tokens=False))
-
-    def encode(lo: int, hi: int) -> list[tuple[int, int, int]]:
-        e = t.encode(text[lo:hi], add_special_tokens=False)
-        return [(i, s + lo, x + lo) for i, (s, x) in zip(e.ids, e.offsets, strict=True)]
-
-    total, lo = 0, 0
-    hi = _at_gap(text, chunk, 0)
-    have, skip = encode(0, hi), 0
-    while hi < len(text):
-        wide = overlap
-        while True:
-            start = max(lo, _at_gap(text, hi - wide, lo)) if hi - wide > lo else lo
-            if start == lo:  # no overlap was wide enough: go on with this chunk made longer
-                hi = _at_gap(text, min(len(text) - 1, hi + chunk), hi) if hi + chunk < len(text) else len(text)
-                have = encode(lo, hi)
-                # what was skipped at the chunk's beginning stays skipped: those tokens did not change
-                break
-            stop = _at_gap(text, hi + chunk, hi) if hi + chunk < len(text) else len(text)
-            more = encode(start, stop)
-            cut = _splice(text, have, more, start, hi)
-            if cut:
-                total += cut[0] - skip
-                have, skip, lo, hi = more, cut[1], start, stop
-                break
-            wide *= 2
-    return total + len(have) - skip
+    total, skip, have = 0, 0, _Chunk(t, text, 0, chunk)
+    while have.hi < len(text):
+        wide, place = overlap, None
+        while place is None and wide < have.hi - have.lo:
+            start = _start_of_overlap(have, wide, skip)
+            if start is None:
+                break  # nor does a wider overlap have one
+            more = _Chunk(t, text, start, min(len(text), have.hi + chunk))
+            place = _splice(have, more)
+            wide *= 4
+        if place is None:
+            # the tokens skipped at the chunk's beginning lie before a proven place and stay the same
+            have = _Chunk(t, text, have.lo, min(len(text), 2 * have.hi - have.lo))
+            continue
+        total += place[0] - skip
+        have, skip = more, place[1]
+    return total + have.n - skip
 
 
 def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 2048, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:

@@ -254,6 +254,25 @@ def test_overlapping_chunks_give_the_whole(name):
             assert tokens.count_tokens(text, t, chunk, overlap) == whole, (text[:20], chunk)
 
 
+@pytest.mark.parametrize("name", [WORD_FILE, BYTE_FILE])
+def test_texts_without_white_space_cost_little_more_than_once(name):
+    t, rng = plain(name), random.Random(12)
+
+    class Counting:
+        chars = 0
+
+        def encode(self, text, **options):
+            Counting.chars += len(text)
+            return t.encode(text, **options)
+
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [pick("ABCdefgh0123456789+/", 60_000), pick("abcdefgh", 60_000), pick("0123456789", 60_000), pick("日本語文字列。", 60_000), "a" * 60_000, " " * 60_000, "e" + "\u0301" * 60_000, "#*$%" * 15_000]
+    for text in texts:
+        Counting.chars = 0
+        assert tokens.count_tokens(text, Counting(), 4096, 256) == len(t.encode(text, add_special_tokens=False)), text[:20]
+        assert Counting.chars < 3 * len(text), text[:20]
+
+
 # ---- packing
 
 
