@@ -84,7 +84,7 @@ def tokenize_pieces(df: DataFrame, path: str, end_id: int | None = 2, capacity:
     into pieces of ``capacity`` with the shorter rest first.  Null text counts as empty and is the
     end id alone; without an ``end_id`` an empty document has no pieces.
     """
-    schema = "doc_id long, piece long, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,7 @@ def tokenize_pieces(df: DataFrame, path: str, end_id: int | None = 2, capacity:
 
 def _rows(out: list[tuple], with_ids: bool) -> pa.RecordBatch:
     cols = list(zip(*out, strict=True))
-    arrays = [pa.array(c, pa.int64()) for c in cols[:5]]
+    arrays = [pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols[:5])]
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     if with_ids:
         arrays.append(pa.array(list(cols[5]), pa.list_(pa.int64())))

@@ -141,6 +141,59 @@ def test_labelers_add_the_likely_and_leave_the_unlikely(spark, none):
     assert "[phone]" in masked[0] and "555-" not in masked[0] and masked[75] == rows[75]
 
 
+def test_masking_follows_texts_not_ids(spark):
+    rows = [(None, "mail a@b.co now"), (1, "x a@b.co"), (1, "nothing here"), (1, "x a@b.co"), (2, ""), (3, None), (4, "a" * 1500 + " +49 30 1234567 a@b.co\u00e9 1.2.3.4" + "b" * 3000 + " c@d.org")]
+    # an address that is part of a longer email: one mark, no rest in clear
+    rows.append((5, "user+49301234567@example.com and 4111 1111 1111 1111"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("c", F.lit("clash"))
+    got = pii.mask(df)
+    assert got.columns == df.columns
+    want = ["mail [email] now", "x [email]", "nothing here", "x [email]", "", None, "a" * 1500 + " [phone] [email]\u00e9 [ip]" + "b" * 3000 + " [email]", "[email] and [card]"]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, ((r[0], w) for r, w in zip(rows, want, strict=True))))
+
+
+def test_very_many_spans_in_one_text(spark):
+    n = 40_000
+    df = spark.createDataFrame([(1, "1.2.3.4 " * n), (2, "a@b.co, " * n)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_pii(df).collect()}
+    assert got[1]["n_ip"] == n and got[2]["n_email"] == n
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(f"ip:{8 * i}:{8 * i + 7}" for i in range(n)).encode()).hexdigest()
+
+
+def test_wide_spans_apart_from_base_ones(spark):
+    rng = random.Random(4)
+
+    def some(n):
+        places = sorted(rng.sample(range(3000), 2 * n))
+        return [(s, e, "m") for s, e in zip(places[::2], places[1::2], strict=True)]
+
+    rows = [(i, some(rng.choice([0, 1, 40, 600])), some(rng.choice([0, 1, 50, 700]))) for i in range(30)]
+    kind = "array<struct<s:int,e:int,m:string>>"
+    got = spark.createDataFrame(rows, f"i int, own {kind}, wide {kind}").select("i", pii._apart(F.col("own"), F.col("wide")).alias("x")).collect()
+    for r in got:
+        _, own, wide = rows[r["i"]]
+        assert [tuple(x) for x in r["x"]] == [w for w in wide if not any(o[0] < w[1] and w[0] < o[1] for o in own)]
+
+
+def test_secrets_and_obfuscated_addresses_are_added(spark):
+    rng = random.Random(13)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    filler = lambda: prose(rng, 12, 99)
+    planted, rows = {}, []
+    for i in range(120):
+        before = filler() + rng.choice([" token = \"", " api_key: \"", " password=\""])
+        rows.append(before + key() + "\" " + filler())
+        planted[i] = f"secret:{len(before)}:{len(before) + 40}"
+    rows += [f"{filler()} contact joe{i} at mail{i} dot com, {filler()}" for i in range(40)]
+    rows += [f"{filler()} write to joe{i}@mail{i}.com, {filler()}" for i in range(120)]
+    rows += [f"{filler()} see http://a.org/some-long/path-of/words-and-more/{i} {filler()}" for i in range(60)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    caught = sum(planted[i] in got[i] for i in planted)
+    assert caught >= 0.95 * len(planted) and all(len(got[i]) == 1 for i in planted)
+    assert sum(any(s.startswith("email") for s in got[i]) for i in range(120, 160)) >= 36
+    assert not any(s for i in range(280, 340) for s in got[i] if s)
+
+
 def test_expectation_maximisation_finds_the_good_labeler():
     counts = {}
     rng = random.Random(5)
