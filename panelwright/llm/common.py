@@ -28,10 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
     ``spark.checkpoint.dir`` of the session, or what was set on the context.  Only where neither
-    is set (tests on one machine) a temporary folder is made and set.
+    is set and all executors are threads of this machine (tests) a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="panelwright-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -66,6 +68,28 @@ def release(spark: SparkSession, name: str = "") -> None:
         delete(spark, path)
 
 
+#: Keys with more than one in ``HOT_SHARE`` of a table's rows are dealt to several tasks, but none with fewer rows than ``HOT_ROWS``.
+HOT_SHARE, HOT_ROWS = 1000, 64
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has one row a key and in column ``rows`` how many rows of ``big`` hold it.
+
+    A key with more rows than a bound is dealt to as many parts as it takes, by a hash of its rows,
+    and the one row of ``small`` goes to each part.  The bound is the larger of ``HOT_ROWS`` and one row in ``HOT_SHARE``, so
+    at most ``HOT_SHARE`` keys exceed it: that proven bound is what is broadcast.  ``small`` should be a
+    written table; it is read twice.  Null keys of ``big`` join with nothing.
+    """
+    total = small.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    bound = max(HOT_ROWS, -(-int(total) // HOT_SHARE))
+    parts = F.ceil(F.col(rows) / F.lit(bound)).cast("int")
+    hot = small.filter(F.col(rows) > bound).select(*keys, parts.alias("_parts"))
+    dealt = big.join(F.broadcast(hot), keys, "left")
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*big.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.hint("merge").join(copies, [*keys, "_part"], how).drop("_part")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -7,6 +7,7 @@ single text, whichever is larger.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,15 @@ SHINGLE = 5
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+LOWER, WORD = _LOWER.tobytes(), re.compile(rb"[^\x20\x09-\x0D]+")
+
+#: The first n bytes of eight, little-endian.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -92,11 +96,25 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lowered."""
-    n = len(data)
-    total = np.zeros(n + 1, _U)
-    np.cumsum((_LOWER[data].astype(_U) + _U(1)) * powers(_BASE, n)[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_INV, n)[starts])
+    """A 64-bit hash of each word with A-Z lowered.
+
+    Every eight bytes of a word are mixed with their place by a bijection that is not linear, then
+    added, so no pattern of letters collides by its structure (as, say, Thue-Morse words do in any
+    polynomial modulo a power of two), and a word's length counts.
+    """
+    if not len(starts):
+        return np.zeros(0, _U)
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[: len(data)] = _LOWER[data]
+    eight = np.lib.stride_tricks.as_strided(low, (len(data) + 1, 8), (1, 1))
+    blocks = (ends - starts + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    k = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    at = np.repeat(starts, blocks) + 8 * k
+    held = np.repeat(ends, blocks) - at
+    values = np.ascontiguousarray(eight[at]).view("<u8").ravel() & _MASKS[np.minimum(held, 8)]
+    values = mix(values ^ mix((k.astype(_U) + _U(1)) * _U(_BASE)))
+    return mix(np.add.reduceat(values, first) + (ends - starts).astype(_U) * _U(_BASE))
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ Steps, each a distributed table:
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import stage_table
+from .common import spread_join, stage_table
 
 BINS = 128
 ROWS = 4
@@ -72,6 +73,12 @@ def signature(distinct: np.ndarray) -> np.ndarray:
 SKETCH = "doc_id long, bare boolean, n long, f1 long, f2 long, sig binary"
 
 
+def _one(text: np.ndarray) -> int:
+    """A second, independent hash of a text's only shingle, so sets of one have 128 bits as well."""
+    words = K.WORD.findall(text.tobytes().translate(K.LOWER))[: K.SHINGLE]
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little")
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, bare = batch.column(0), batch.column(2)
@@ -89,7 +96,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     h = h[np.append(True, h[1:] != h[:-1])]
                 n[r] = len(h)
                 f1[r] = h.sum(dtype=_U)
-                f2[r] = (h * h * _U(0x9E3779B97F4A7C15) + (h >> _U(7))).sum(dtype=_U)
+                f2[r] = (h * h * _U(0x9E3779B97F4A7C15) + (h >> _U(7))).sum(dtype=_U) if len(h) > 1 else _one(data[offs[r] : offs[r + 1]])
                 sigs[r] = signature(h).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(first, rows), bare.slice(first, rows), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sigs, pa.binary())],
@@ -160,8 +167,10 @@ def confirm(edges: DataFrame, docs: DataFrame, threshold: int = 75) -> DataFrame
     by their number, and its text goes to each part once, so no star meets in one task.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    size = edges.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR_PART)).cast("int").alias("parts"))
-    dealt = edges.join(size, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    size = stage_table(edges.groupBy("a").agg(F.count("*").alias("c")), "stars")
+    parts = F.ceil(F.col("c") / F.lit(STAR_PART)).cast("int")
+    dealt = spread_join(edges, size, ["a"], "c").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    dealt = stage_table(dealt, "dealt")
     # the sides of these joins grow with the input, so none is ever broadcast
     members = dealt.hint("merge").join(texts, dealt.b == texts.doc_id).select("a", "part", "b", "text")
     heads = dealt.select("a", "part").distinct()
@@ -183,11 +192,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = canonical(large)
-        m = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(m, "a")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.sum((F.col("b") > F.col("a")).cast("long")).alias("c")).filter("c > 0")
+        large = spread_join(both.filter("b > a"), stage_table(low, "low"), ["a"], "c").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stage_table(canonical(large), "edges")
+        m = stage_table(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")), "low")
+        joined = spread_join(large, m, ["a"], "c")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(m.select("a", F.col("m").alias("b")))
         e = stage_table(canonical(small), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -270,16 +279,17 @@ def missed_pairs(labels: DataFrame, docs: DataFrame, threshold: int = 75) -> Dat
     rows = stage_table(rows, "tokens")
     for _ in range(2):
         df = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "df")
-        opened = rows.join(df.hint("merge"), "token")
+        opened = spread_join(rows, stage_table(df, "open"), ["token"], "df", "left_semi")
         enough = opened.groupBy("doc_id").agg(F.count("*").alias("opened"), F.first("n").alias("m")).filter(f"100 * opened >= {threshold} * m").select("doc_id", "opened")
-        rows = stage_table(opened.drop("df").join(enough.select("doc_id").hint("merge"), "doc_id", "left_semi"), "tokens")
-    df = rows.groupBy("token").agg(F.count("*").alias("df"))
+        rows = stage_table(opened.join(enough.select("doc_id").hint("merge"), "doc_id", "left_semi"), "tokens")
+    df = stage_table(rows.groupBy("token").agg(F.count("*").alias("df")), "counts")
     order = Window.partitionBy("doc_id").orderBy("df", "token")
     own = Window.partitionBy("doc_id")
-    placed = rows.join(df.hint("merge"), "token").withColumn("pos", F.col("n") - F.count("*").over(own) + F.row_number().over(order))
-    prefix = placed.filter(f"pos <= n - ceil({threshold} * n / 100) + 1").select("token", "doc_id", "label", "n", "pos")
-    size = prefix.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "nb")
-    x = prefix.join(size, "token").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    placed = spread_join(rows, df, ["token"], "df").withColumn("pos", F.col("n") - F.count("*").over(own) + F.row_number().over(order))
+    prefix = stage_table(placed.filter(f"pos <= n - ceil({threshold} * n / 100) + 1").select("token", "doc_id", "label", "n", "pos"), "prefix")
+    size = prefix.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "c")
+    nb = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
+    x = spread_join(prefix, stage_table(size, "sizes"), ["token"], "c").withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
     x = x.select("token", "i", "j", "blk", "doc_id", "label", "n", "pos").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return x.mapInPandas(_meet(threshold), "a long, b long").distinct()
@@ -297,22 +307,23 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """
     rows = stage_table(sketch(docs), "sketch")
     sets = rows.filter("n > 0")
-    classes = sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    reps = rows.filter("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # rows without words are a class too, so that they are dealt like any other large class below
+    classes = stage_table(rows.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
+    reps = sets.join(classes.filter("n > 0").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = stage_table(reps.select("doc_id", "n", "sig"), "reps")
 
     buckets = reps.select("doc_id", "n", "sig").mapInArrow(lambda it: _bands(_pick(it)), "key long, doc_id long, n long")
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = stage_table(buckets.join(sizes, "key"), "buckets")
+    sizes = stage_table(buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    buckets = stage_table(spread_join(buckets, sizes, ["key"], "size"), "buckets")
     met = buckets.select("doc_id").distinct().hint("merge")
     texts = docs.select(row_id().alias("doc_id"), F.col("text").cast("string"))
     # of the texts only those that meet another are read from here on
     texts = stage_table(texts.join(met, "doc_id", "left_semi"), "texts")
     reach = buckets.groupBy("doc_id").agg(F.sum("size").alias("reach"))
     ranked = buckets.join(reach, "doc_id")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("reach", (-F.col("doc_id")).alias("neg"), F.col("n"))).alias("c"))
+    centre = ranked.groupBy("key").agg(F.max(F.struct("reach", (-F.col("doc_id")).alias("neg"), F.col("n"))).alias("c"), F.first("size").alias("rows"))
     stars = (
-        buckets.join(centre, "key")
+        spread_join(buckets.drop("size"), stage_table(centre, "centres"), ["key"], "rows")
         .select((-F.col("c.neg")).alias("a"), F.col("doc_id").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
         .filter(f"a <> b AND 100 * least(na, nb) >= {threshold} * greatest(na, nb)")
         .select("a", "b")
@@ -323,8 +334,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     found = stage_table(components(links), "labels")
 
     labelled = buckets.join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    rest = labelled.join(open_keys, "key", "left_semi").select("doc_id", "label").distinct()
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("key", "c")
+    rest = spread_join(labelled, stage_table(open_keys, "open"), ["key"], "c", "left_semi").select("doc_id", "label").distinct()
     pairs = missed_pairs(rest, texts, threshold)
     tried = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = stage_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -333,8 +344,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
         joined = found.select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
         found = stage_table(components(joined.unionByName(more)), "labels")
 
-    label = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"))
-    got = rows.select("doc_id", "bare", "n", "f1", "f2").join(label, ["n", "f1", "f2"], "left")
+    label = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("n", "f1", "f2", "c", F.coalesce("label", "rep").alias("component_id"))
+    got = spread_join(rows.select("doc_id", "bare", "n", "f1", "f2"), stage_table(label, "classes"), ["n", "f1", "f2"], "c")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     own = F.when(~F.col("bare"), F.col("doc_id")).alias("doc_id")
     return got.select(own, F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontam, kernels as K, line_dedup, near_dup, suffix_dedup
+from panelwright.llm import common, decontam, kernels as K, line_dedup, near_dup, suffix_dedup
 
 from .conftest import prose
 
@@ -34,6 +34,27 @@ def test_shingle_kernel_agrees_with_sets(spark):
         assert set(seen[0]) & set(seen[1]) and not set(seen[2]) & set(seen[0]) and seen[8][0] in seen[0]
 
 
+def test_words_with_a_pattern_don_t_collide(spark):
+    """Thue-Morse words and their complements agree in any polynomial hash modulo a power of two."""
+    word = lambda a, b, n: "".join(b if i.bit_count() % 2 else a for i in range(n))
+    rows = [(k, w) for k, w in enumerate(word(*p, n) for n in (8, 64, 1024, 2048, 4096) for p in ("ab", "ba"))]
+    rows += [(100, "a" * 8), (101, "a" * 16), (102, "a" * 9), (103, "A" * 9)]
+    got = got_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_components(rows) and [d for d, x in got.items() if not x[2]] == [103]
+
+
+def test_hot_keys_are_dealt_and_lose_nothing(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([0] * 9 + list(range(300))), i) for i in range(5000)] + [(None, -1)]
+    big = spark.createDataFrame(rows, "k int, i int").repartition(4)
+    small = big.filter("k is not null").groupBy("k").agg(F.count("*").alias("c")).filter("k % 3 = 0")
+    for how in ("inner", "left_semi"):
+        got = common.spread_join(big, small, ["k"], "c", how)
+        assert got.columns == (["k", "i", "c"] if how == "inner" else ["k", "i"])
+        assert sorted((r["k"], r["i"]) for r in got.collect()) == sorted(r for r in rows if r[0] is not None and r[0] % 3 == 0)
+    assert common.spread_join(big.limit(0), small.limit(0), ["k"], "c").count() == 0
+
+
 # ---- near duplicates
 
 
