@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread_join, stage_table
+
 MIN_LINES = 3
 #: A shorter run counts too, where the caller asks for it, if it has more words than this.
 LONG_WORDS = 50
@@ -83,13 +85,14 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | N
 
     sizes = [t] if long_words is None else range(1, t + 1)
     wins = hashes.select("_d", "_t", F.explode(F.concat(*[windows(n) for n in sizes])).alias("w")).select("_d", "_t", "w.*")
-    shared = (
-        wins.groupBy("fp").agg(F.min(F.struct("_d", "_t", "at")).alias("a"), F.max(F.struct("_d", "_t", "at")).alias("b"))
-        .filter("a <> b").select("fp")
-    )
-    wins = wins.join(shared, "fp", "left_semi").select("_d", "_t", "j", "n", "g1", "g2")
-    first = wins.groupBy("g1", "g2").agg(F.min(F.struct("_d", "_t", "j")).alias("first"), F.max(F.struct("_d", "_t", "j")).alias("last")).filter("first <> last").select("g1", "g2", "first")
-    later = wins.join(first, ["g1", "g2"]).filter(F.struct("_d", "_t", "j") > F.col("first"))
+    place = lambda at: F.struct("_d", "_t", at)
+    # written once, so the texts are hashed once and hot fingerprints and keys can be dealt to several tasks
+    wins = stage_table(wins, "windows")
+    shared = wins.groupBy("fp").agg(F.min(place("at")).alias("a"), F.max(place("at")).alias("b"), F.count("*").alias("c")).filter("a <> b").select("fp", "c")
+    wins = spread_join(wins, stage_table(shared, "fingerprints"), ["fp"], "c", "left_semi").select("_d", "_t", "j", "n", "g1", "g2")
+    wins = stage_table(wins, "windows")
+    first = wins.groupBy("g1", "g2").agg(F.min(place("j")).alias("first"), F.max(place("j")).alias("last"), F.count("*").alias("c")).filter("first <> last").drop("last")
+    later = spread_join(wins, stage_table(first, "first"), ["g1", "g2"], "c").filter(place("j") > F.col("first"))
     gone = later.groupBy("_d", "_t").agg(F.collect_set(F.struct("j", "n")).alias("wins"))
     lines = F.flatten(F.transform("wins", lambda w: F.sequence(w["j"], w["j"] + w["n"] - 1)))
     gone = gone.select("_d", "_t", F.array_sort(F.array_distinct(lines)).alias("lines")).select("_d", "_t", _runs(F.col("lines"), 1).alias("runs"))
