@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, spread_join, stage_table
 
 EOL = "\r\n"
-FILE_BYTES = 16 << 20
+FILE_BYTES, LARGE = 16 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
@@ -30,8 +30,8 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _urn(*parts: Column) -> Column:
-    h = F.md5(F.concat_ws("|", *parts))
+def _urn(*parts: Column | str) -> Column:
+    h = F.md5(F.concat_ws("|", *[F.col(p) if isinstance(p, str) else p for p in parts]))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -44,31 +44,68 @@ def _record(kind: Column | str, headers: list[tuple[str, Column]], block: Column
     return F.concat(F.concat_ws(EOL, *lines), F.lit(EOL + EOL), block)
 
 
+def _captures(src: DataFrame, min_revisit_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Responses with their html, and revisits with the response that each names.
+
+    Rows are known by (p, url, digest, size) and the number of their copy, so nothing depends on
+    the order in which a row is read, and a task that runs again gives the same ids.  Each payload
+    of ``min_revisit_bytes`` or more is aggregated before it is shuffled; of its other rows only the small
+    columns are, dealt by ``spread_join`` where one payload has very many.
+    """
+    key = ["digest", "size"]
+    big, tiny = src.filter(F.col("size") >= min_revisit_bytes), src.filter(F.col("size") < min_revisit_bytes)
+    small = big.groupBy(*key, "p", "url").agg(F.count("*").alias("copies"))
+    payloads = small.groupBy(*key).agg(F.max(F.struct("p", "url")).alias("last"), F.count("*").alias("rows"), F.sum("copies").alias("m"))
+    payloads = stage_table(payloads, "payloads")
+    first = big.groupBy(*key).agg(F.max(F.struct("p", "url", "html")).alias("r")).select(*key, "r.p", "r.url", "r.html")
+    rest = tiny.groupBy(*key, "p", "url").agg(F.max("html").alias("html"), F.count("*").alias("copies"))
+    rest = rest.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))).drop("copies")
+    again = spread_join(small, payloads.filter("m > 1").select(*key, "last", "rows"), key, "rows")
+    own = F.col("last") == F.struct("p", "url")
+    last = F.col("copies").cast("int") - F.when(own, 1).otherwise(0)
+    again = again.filter(last > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), last))).select(*key, "p", "url", "copy", F.col("last.p").alias("lp"), F.col("last.url").alias("lu"))
+    return first.withColumn("copy", F.lit(0)).unionByName(rest), again
+
+
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> str:
     """Write one request, one response or revisit and one metadata record a row of ``pages``.
 
     ``pages`` has page_id, url and html; a null html is an empty payload and a null url an empty
     target.  Of rows with equal payloads of at least ``min_revisit_bytes`` bytes the one with
-    the largest page_id (of repeated rows the last) is the response and the others revisit it.  The files are gzip
-    streams of records; record ids derive from page_id and the row's place, so repeated rows stay apart.
+    the largest page_id (of equals the largest url, of repeated rows any) is the response and the others revisit it.  The files are
+    gzip streams of records; repeated rows have records of their own.
+
+    Files hold about ``FILE_BYTES``: payloads up to ``LARGE`` are dealt by their digests and cut by the mean
+    size, and those above are written by classes of size, each with a number of records a file that fits its largest.
     """
     src = pages.select(
-        F.col("page_id").cast("long"),
+        F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))).alias("p"),
         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\r\n]", "%0A").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    ).withColumns({"row": F.monotonically_increasing_id()})
-    src = src.withColumns({"digest": base32_sha1(F.col("html")), "size": F.octet_length("html").cast("long")})
-    key = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("p"), "row")
-    same = (
-        src.filter(F.col("size") >= min_revisit_bytes)
-        .groupBy("digest", "size")
-        .agg(F.max(key).alias("last"), F.count("*").alias("m"))
-        .filter("m > 1")
-        .select("digest", "size", F.col("last.p").alias("lp"), F.col("last.row").alias("lr"))
     )
-    x = src.join(same, ["digest", "size"], "left")
-    own, kept = _urn(F.lit("response"), F.coalesce("page_id", F.lit(-(1 << 63))), F.col("row")), _urn(F.lit("response"), F.col("lp"), F.col("lr"))
-    revisit = F.col("lp").isNotNull() & (F.col("lr") != F.col("row"))
+    src = src.withColumns({"digest": base32_sha1(F.col("html")), "size": F.octet_length("html").cast("long")})
+    first, again = _captures(src, min_revisit_bytes)
+    usual = F.when(F.col("size") <= LARGE, F.col("size"))
+    n, total, classes = src.agg(F.count(usual), F.coalesce(F.sum(usual), F.lit(0)), F.collect_set(F.when(F.col("size") > LARGE, _size_class()))).first()
+    again = again.withColumn("html", F.lit(""))
+    some = first.filter(F.col("size") <= LARGE).withColumns({"lp": F.lit(None).cast("long"), "lu": F.lit(None).cast("string")}).unionByName(again)
+    _write(some, path, max(1, int(FILE_BYTES // (1024 + total / max(1, n)))), "overwrite")
+    for k in sorted(classes):
+        part = first.filter((F.col("size") > LARGE) & (_size_class() == k)).withColumns({"lp": F.lit(None).cast("long"), "lu": F.lit(None).cast("string")})
+        _write(part, path, max(1, FILE_BYTES // (LARGE * 4 ** (k + 1))), "append")
+    return path
+
+
+def _size_class():
+    """0 for payloads of more than ``LARGE`` and less than four times that, 1 for the next factor of four, and so on."""
+    return F.floor(F.log2(F.col("size") / F.lit(LARGE)) / 2).cast("int")
+
+
+def _write(x: DataFrame, path: str, each: int, mode: str) -> None:
+    """Append the records of captures (digest, size, p, url, html, copy, lp, lu) to the archives."""
+    own, kept = _urn(F.lit("response"), "p", "url", "digest", "copy"), _urn(F.lit("response"), "lp", "lu", "digest", F.lit(0))
+    revisit = F.col("lp").isNotNull()
+    page = F.when(F.col("p") != -(1 << 63), F.col("p").cast("string"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("size").cast("string"), F.lit(EOL + EOL))
     date, target = ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", F.col("url"))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest"))
@@ -91,16 +128,13 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> s
     metadata = _record(
         "metadata",
         [("WARC-Record-ID", _urn(F.lit("metadata"), own)), ("WARC-Concurrent-To", own), date, target, ("Content-Type", F.lit("application/warc-fields"))],
-        F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(EOL)), F.lit("")),
+        F.coalesce(F.concat(F.lit("page-id: "), page, F.lit(EOL)), F.lit("")),
     )
-    total = src.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
-    each = max(1, int(FILE_BYTES // (1 + (total[1] or 0) / max(1, total[0]))))
     (
         x.select(F.concat_ws(EOL + EOL, request, response, metadata).alias("value"))
-        .write.mode("overwrite").option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", each)
+        .write.mode(mode).option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", each)
         .text(path)
     )
-    return path
 
 
 def _members(data: bytes) -> bytes:

@@ -233,6 +233,21 @@ def test_archives_round_trip(spark, none):
     assert warc.round_trip(empty).count() == 0
 
 
+def test_large_pages_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 1000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 16_000)
+    sizes = [10] * 50 + [999, 1000, 1001, 3999, 4000, 4001, 16_001, 70_000, 70_000]
+    rows = [(i, f"http://h/{i}", chr(97 + i % 7) * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for least in (0, 5000, 10**6):
+        got = {r["page_id"]: r for r in warc.round_trip(df, least).collect()}
+        assert {i: r["response"]["payload_bytes"] for i, r in got.items()} == dict(enumerate(sizes))
+        assert {i: r["response"]["payload"] for i, r in got.items() if r["response"]["record_type"] == "response"}.items() <= {r[0]: r[2] for r in rows}.items()
+    warc.write_archives(df, f"file://{tmp_path}/w")
+    held = [sum(len(b) for _, b in warc.parse_records(warc._members(f.read_bytes()))) for f in (tmp_path / "w").glob("*.gz")]
+    assert len(held) > 5 and all(h < 40_000 or h < 72_000 for h in held)
+
+
 def test_records_without_a_response_still_come_out(spark):
     rows = [("<r>", "request", "<gone>", None), ("<m>", "metadata", "<gone>", None), ("<v>", "revisit", None, "<nowhere>")]
     df = spark.createDataFrame(rows, "record_id string, record_type string, concurrent_to string, refers_to string")
