@@ -75,17 +75,25 @@ HOT_SHARE, HOT_ROWS = 1000, 64
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
     """``big`` joined with ``small``, which has one row a key and in column ``rows`` how many rows of ``big`` hold it.
 
-    A key with more rows than a bound is dealt to as many parts as it takes, by a hash of its rows,
+    A key with more rows than a bound is dealt to a power of two of parts by a hash of its rows,
     and the one row of ``small`` goes to each part.  The bound is the larger of ``HOT_ROWS`` and one row in ``HOT_SHARE``, so
-    at most ``HOT_SHARE`` keys exceed it: that proven bound is what is broadcast.  ``small`` should be a
-    written table; it is read twice.  Null keys of ``big`` join with nothing.
+    at most ``HOT_SHARE`` keys exceed it: with that proven bound hashes of them stand in the plan.  ``small``
+    should be cheap to read, which happens up to three times.  Null keys of ``big`` join with nothing.
     """
-    total = small.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    total, most = small.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
     bound = max(HOT_ROWS, -(-int(total) // HOT_SHARE))
-    parts = F.ceil(F.col(rows) / F.lit(bound)).cast("int")
-    hot = small.filter(F.col(rows) > bound).select(*keys, parts.alias("_parts"))
-    dealt = big.join(F.broadcast(hot), keys, "left")
-    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*big.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    if most <= bound:
+        return big.hint("merge").join(small, keys, how)
+    power = F.ceil(F.log2(F.col(rows) / F.lit(bound))).cast("int")
+    hot: dict[int, list[int]] = {}
+    for h, p in small.filter(F.col(rows) > bound).select(F.xxhash64(*keys), power).collect():
+        hot.setdefault(p, []).append(h)
+    key = F.xxhash64(*keys)
+    parts = F.lit(1)
+    for p, hashes in hot.items():
+        parts = F.when(key.isin(hashes), 1 << p).otherwise(parts)
+    parts = F.when(key.isin([h for hashes in hot.values() for h in hashes]), parts).otherwise(F.lit(1))
+    dealt = big.withColumn("_part", F.pmod(F.xxhash64(*big.columns), parts).cast("int"))
     copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.hint("merge").join(copies, [*keys, "_part"], how).drop("_part")
 

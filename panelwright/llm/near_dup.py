@@ -193,9 +193,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.sum((F.col("b") > F.col("a")).cast("long")).alias("c")).filter("c > 0")
-        large = spread_join(both.filter("b > a"), stage_table(low, "low"), ["a"], "c").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = spread_join(both.filter("b > a"), low, ["a"], "c").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stage_table(canonical(large), "edges")
-        m = stage_table(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")), "low")
+        m = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
         joined = spread_join(large, m, ["a"], "c")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(m.select("a", F.col("m").alias("b")))
         e = stage_table(canonical(small), "edges")
