@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
@@ -41,18 +41,65 @@ def q_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(other, "item_id").select("item_id", F.round(D.title_similarity(F.col("text"), F.col("other")), 9).alias("similarity"))
 
 
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each source as one paper with pages numbered from 1 by doc_id."""
+    w = Window.partitionBy("paper_id").orderBy("page")
+    return _texts(spark, sf_dir).withColumn("page", F.row_number().over(w))
+
+
+def _tei(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred papers in TEI from the parts: each part is a reference, a division that cites it and a footnote."""
+    tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *inner, F.lit(f"</{name.split(' ')[0]}>"))
+    key = F.col("p_partkey").cast("string")
+    cite = F.concat(F.lit('<ref type="bibr" target="#b'), key, F.lit('">('), F.col("p_brand"), F.lit(" "), F.col("p_size").cast("string"), F.lit(")</ref>"))
+    div = tag("div", tag("head", F.col("p_type")), tag("p", F.lit("Text  about "), F.col("p_type"), F.lit(" by "), cite, F.lit(" shows "), F.col("p_name"), F.lit(".")))
+    note = F.concat(F.lit('<note place="foot" n="'), F.col("p_size").cast("string"), F.lit('">'), F.col("p_name"), F.lit(" note</note>"))
+    doi = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('<idno type="DOI">10.5/'), key, F.lit("</idno>"))).otherwise("")
+    part = tag("analytic", tag("title", F.col("p_name")), tag("author", tag("persName", tag("forename", F.lit("A")), tag("surname", F.col("p_brand")))))
+    whole = tag("monogr", tag("title", F.col("p_type")), tag("imprint", F.concat(F.lit('<date when="'), (F.col("p_size") + 1950).cast("string"), F.lit('-05"/>'))))
+    bibl = F.concat(F.lit('<biblStruct xml:id="b'), key, F.lit('">'), part, whole, doi, F.lit("</biblStruct>"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy((F.col("p_partkey") % 100).cast("string").alias("paper_id"))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.concat(div, note).alias("b"), bibl.alias("r")))).alias("x"))
+    text = lambda c: F.array_join(F.transform("x", lambda v: v[c]), "")
+    head, mid, tail = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>', "</body><back><listBibl>", "</listBibl></back></text></TEI>"
+    return one.select("paper_id", F.concat(F.lit(head), text("b"), F.lit(mid), text("r"), F.lit(tail)).alias("tei"))
+
+
+def _shown(packets: DataFrame) -> DataFrame:
+    return packets.select("paper_id", "n_chars", "truncated", F.sha2("body", 256).alias("body_sha256"))
+
+
 def q_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = D.packet("page:10-40", _texts(spark, sf_dir), budget=3000)
-    return got.select("paper_id", "n_chars", "truncated", F.sha2("body", 256).alias("body_sha256"))
+    return _shown(D.packet("page:2-6", _papers(spark, sf_dir), budget=3000))
 
 
 def q_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.packet("toc", _markdown(spark, sf_dir)).select("paper_id", "n_chars", "truncated")
+    return _shown(D.packet("toc", _markdown(spark, sf_dir)))
+
+
+def q_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = D.tei_references(_tei(spark, sf_dir))
+    return got.select("paper_id", "id", "tei_id", F.array_join("authors", "; ").alias("authors"), "title", "year", "venue", "doi", "status")
+
+
+def q_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tei = _tei(spark, sf_dir)
+    return D.citation_contexts(tei, D.tei_references(tei), window=12).drop("source")
+
+
+def q_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.tei_footnotes(_tei(spark, sf_dir))
+
+
+def q_packet_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tei = _tei(spark, sf_dir)
+    return _shown(D.packet("reference:all", tei.select("paper_id", F.lit(1).alias("page"), F.lit("").alias("markdown")), refs=D.tei_references(tei)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"document_sections": q_sections, "document_text_layer": q_text_layer, "document_quality": q_quality, "title_similarity": q_similarity,
-            "document_packet": q_packet, "document_toc": q_toc}
+            "document_packet": q_packet, "document_toc": q_toc, "document_references": q_references, "document_citations": q_citations,
+            "document_footnotes": q_footnotes, "document_packet_references": q_packet_references}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -62,6 +109,10 @@ g AS (
   SELECT source AS paper_id, count(*) AS pages, sum(CASE WHEN length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) < 20 THEN 1 ELSE 0 END)::BIGINT AS empty_pages,
          bool_or(regexp_matches(coalesce(text, ''), '(?m)^\s*\|(?:\s*:?-{3,}:?\s*\|)+\s*$')) AS has_table FROM documents GROUP BY 1),
 s AS (SELECT *, CASE WHEN empty_pages = 0 THEN 'ok' WHEN empty_pages < 0.5 * pages THEN 'degraded' ELSE 'failed' END AS status FROM g)"""
+    refs = """
+WITH q AS (SELECT *, row_number() OVER (PARTITION BY p_partkey % 100 ORDER BY p_partkey) AS n FROM part),
+r AS (SELECT (p_partkey % 100)::VARCHAR AS paper_id, n, 'ref-' || lpad(n::VARCHAR, 3, '0') AS id, 'b' || p_partkey AS tei_id, p_brand || ', A' AS authors, p_name AS title, (p_size + 1950)::VARCHAR AS year,
+             p_type AS venue, CASE WHEN p_size % 3 = 0 THEN '10.5/' || p_partkey ELSE '' END AS doi, CASE WHEN p_size % 3 = 0 THEN 'doi-from-grobid' ELSE 'unresolved' END AS status, p_brand AS brand, p_size AS size FROM q)"""
     return {
         "document_sections": """
 WITH h AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '[\\r\\n]', ' ', 'g'), '<h[1-6]>[^<]*</h[1-6]>')) AS e FROM pages),
@@ -74,7 +125,29 @@ SELECT page_id % 25 AS paper_id, page_id AS page, level, trim(raw) AS title FROM
 WITH p AS (SELECT a.item_id, {tokens('a.text')} AS x, {tokens('b.text')} AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
 SELECT item_id, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END, 9) AS similarity FROM p""",
         "document_packet": """
-WITH b AS (SELECT source AS paper_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS body FROM documents WHERE doc_id BETWEEN 10 AND 40 GROUP BY 1)
+WITH p AS (SELECT source AS paper_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, coalesce(text, '') AS t FROM documents),
+b AS (
+  SELECT paper_id, string_agg(CASE WHEN page BETWEEN 2 AND 6 THEN '<!-- page ' || page || ' -->' || chr(10) || t END, chr(10) || chr(10) ORDER BY page) AS body FROM p GROUP BY 1)
 SELECT paper_id, length(body)::INT AS n_chars, length(body) > 3000 AS truncated,
-       sha256(CASE WHEN length(body) > 3000 THEN substr(body, 1, 3000) || chr(10) || chr(10) || '[TRUNCATED at budget 3000 chars (full content: ' || length(body) || ' chars)]' ELSE body END) AS body_sha256 FROM b""",
+       sha256(CASE WHEN length(body) > 3000 THEN substr(body, 1, 3000) || chr(10) || chr(10) || '[TRUNCATED at budget 3000 chars (full content: ' || length(body) || ' chars); narrow the page range]' ELSE body END) AS body_sha256 FROM b""",
+        "document_toc": """
+WITH h AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '[\\r\\n]', ' ', 'g'), '<h[1-6]>[^<]*</h[1-6]>')) AS e,
+                  generate_subscripts(regexp_extract_all(regexp_replace(coalesce(html, ''), '[\\r\\n]', ' ', 'g'), '<h[1-6]>[^<]*</h[1-6]>'), 1) AS i FROM pages),
+k AS (SELECT page_id, i, substr(e, 3, 1)::INT AS level, trim(substr(e, 5, length(e) - 9)) AS title FROM h WHERE substr(e, 3, 1) = substr(e, length(e) - 1, 1)),
+l AS (SELECT page_id % 25 AS paper_id, string_agg(repeat('  ', level - 1) || '- ' || title || ' (p.' || page_id || ')', chr(10) ORDER BY page_id, i) AS t FROM k WHERE title <> '' GROUP BY 1),
+b AS (SELECT paper_id, coalesce(t, '(no headings detected)') AS body FROM (SELECT DISTINCT page_id % 25 AS paper_id FROM pages) LEFT JOIN l USING (paper_id))
+SELECT paper_id, length(body)::INT AS n_chars, length(body) > 15000 AS truncated,
+       sha256(CASE WHEN length(body) > 15000 THEN substr(body, 1, 15000) || chr(10) || chr(10) || '[TRUNCATED at budget 15000 chars (full content: ' || length(body) || ' chars); re-issue with a larger --budget]' ELSE body END) AS body_sha256 FROM b""",
+        "document_references": f"{refs} SELECT paper_id, id, tei_id, authors, title, year, venue, doi, status FROM r",
+        "document_citations": f"""{refs},
+f AS (SELECT *, 'Text about ' || venue || ' by' AS lead, '(' || brand || ' ' || size || ')' AS marker FROM r),
+g AS (SELECT *, lead || ' ' || marker || ' shows ' || title || '.' AS flat, greatest(0, length(lead) - 12) AS lo FROM f),
+c AS (SELECT *, least(length(flat), length(lead) + length(marker) + 12) AS hi FROM g)
+SELECT paper_id, 'cite-' || lpad(n::VARCHAR, 4, '0') AS id, tei_id AS ref_tei_id, id AS ref_id, authors || ' (' || year || ') ' || title AS ref_desc, marker, venue AS section,
+       CASE WHEN lo > 0 THEN '...' ELSE '' END || substr(flat, lo + 1, hi - lo) || CASE WHEN hi < length(flat) THEN '...' ELSE '' END AS context FROM c""",
+        "document_footnotes": f"{refs} SELECT paper_id, 'fn-' || lpad(n::VARCHAR, 3, '0') AS id, size::VARCHAR AS marker, title || ' note' AS text, 'grobid' AS source FROM r",
+        "document_packet_references": f"""{refs},
+b AS (SELECT paper_id, string_agg('- **' || id || '** [' || status || '] ' || authors || ' (' || year || ') ' || title || ' _' || venue || '_' || CASE WHEN doi <> '' THEN ' DOI: ' || doi ELSE '' END, chr(10) ORDER BY n) AS body FROM r GROUP BY 1)
+SELECT paper_id, length(body)::INT AS n_chars, length(body) > 15000 AS truncated,
+       sha256(CASE WHEN length(body) > 15000 THEN substr(body, 1, 15000) || chr(10) || chr(10) || '[TRUNCATED at budget 15000 chars (full content: ' || length(body) || ' chars); ask a single reference id]' ELSE body END) AS body_sha256 FROM b""",
     }
