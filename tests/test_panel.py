@@ -113,3 +113,10 @@ def test_decile_cut_against_pandas(spark):
 def test_interaction(spark):
     got = P.add_interaction(frame(spark, [(2.0, 3.0), (None, 1.0)], "x double, z double"), "x", "z").collect()
     assert [r["x_x_z"] for r in got] == [6.0, None]
+
+
+def test_public_names():
+    import panelwright
+
+    assert len(panelwright.__all__) == 26 and sorted(panelwright.__all__) == list(panelwright.__all__)
+    assert all(getattr(panelwright, n) is not None for n in panelwright.__all__)
