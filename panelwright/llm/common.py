@@ -82,17 +82,17 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, ho
     """
     total, most = small.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
     bound = max(HOT_ROWS, -(-int(total) // HOT_SHARE))
-    if most <= bound:
-        return big.hint("merge").join(small, keys, how)
     power = F.ceil(F.log2(F.col(rows) / F.lit(bound))).cast("int")
     hot: dict[int, list[int]] = {}
-    for h, p in small.filter(F.col(rows) > bound).select(F.xxhash64(*keys), power).collect():
+    for h, p in small.filter(F.col(rows) > bound).select(F.xxhash64(*keys), power).collect() if most > bound else ():
         hot.setdefault(p, []).append(h)
     key = F.xxhash64(*keys)
     parts = F.lit(1)
     for p, hashes in hot.items():
         parts = F.when(key.isin(hashes), 1 << p).otherwise(parts)
-    parts = F.when(key.isin([h for hashes in hot.values() for h in hashes]), parts).otherwise(F.lit(1))
+    if hot:
+        parts = F.when(key.isin([h for hashes in hot.values() for h in hashes]), parts).otherwise(F.lit(1))
+    # the plan has one form, whether or not a key is hot
     dealt = big.withColumn("_part", F.pmod(F.xxhash64(*big.columns), parts).cast("int"))
     copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.hint("merge").join(copies, [*keys, "_part"], how).drop("_part")
