@@ -183,29 +183,26 @@ def components(edges: DataFrame) -> DataFrame:
     """(doc_id, label) of all nodes of the edges (a, b): the smallest node that each can reach.
 
     Alternates large-star and small-star steps, each of which keeps the components and adds at
-    most one edge per edge, until nothing changes, however many rounds that takes; a written table cuts the lineage each round.
+    most one edge per edge, until every component is a star around its smallest node, however many rounds
+    that takes; written tables cut the lineage each round.
     """
     def canonical(e: DataFrame) -> DataFrame:
         return e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     e = stage_table(canonical(edges), "edges")
-    state = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.sum((F.col("b") > F.col("a")).cast("long")).alias("c")).filter("c > 0")
-        large = spread_join(both.filter("b > a"), low, ["a"], "c").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        larger, smaller = (F.sum((F.col("b") > F.col("a")).cast("long")), F.sum((F.col("b") < F.col("a")).cast("long")))
+        low = stage_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), larger.alias("c"), smaller.alias("s")), "low")
+        # in a star the centre has larger neighbours only, and any other node has the centre only
+        if low.filter("s > 1 OR (s > 0 AND c > 0)").isEmpty():
+            return low.select(F.col("a").alias("doc_id"), F.col("m").alias("label"))
+        large = spread_join(both.filter("b > a"), low.filter("c > 0").select("a", "m", "c"), ["a"], "c").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stage_table(canonical(large), "edges")
-        m = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        m = stage_table(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")), "least")
         joined = spread_join(large, m, ["a"], "c")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(m.select("a", F.col("m").alias("b")))
         e = stage_table(canonical(small), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    labels = e.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "doc_id")
-    roots = e.select(F.col("b").alias("doc_id")).distinct().withColumn("label", F.col("doc_id"))
-    return roots.join(labels, "doc_id", "left_anti").unionByName(labels)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
