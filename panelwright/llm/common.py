@@ -76,9 +76,9 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, ho
     """``big`` joined with ``small``, which has one row a key and in column ``rows`` how many rows of ``big`` hold it.
 
     A key with more rows than a bound is dealt to a power of two of parts by a hash of its rows,
-    and the one row of ``small`` goes to each part.  The bound is the larger of ``HOT_ROWS`` and one row in ``HOT_SHARE``, so
+    and the one row of ``small`` goes to each part; rows of other keys are not copied.  The bound is the larger of ``HOT_ROWS`` and one row in ``HOT_SHARE``, so
     at most ``HOT_SHARE`` keys exceed it: with that proven bound hashes of them stand in the plan.  ``small``
-    should be cheap to read, which happens up to three times.  Null keys of ``big`` join with nothing.
+    should be cheap to read, which happens up to four times.  Null keys of ``big`` join with nothing.
     """
     total, most = small.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
     bound = max(HOT_ROWS, -(-int(total) // HOT_SHARE))
@@ -92,9 +92,11 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, ho
         parts = F.when(key.isin(hashes), 1 << p).otherwise(parts)
     if hot:
         parts = F.when(key.isin([h for hashes in hot.values() for h in hashes]), parts).otherwise(F.lit(1))
-    # the plan has one form, whether or not a key is hot
+    # the join has one form, whether or not a key is hot
     dealt = big.withColumn("_part", F.pmod(F.xxhash64(*big.columns), parts).cast("int"))
-    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    first = small.withColumn("_part", F.pmod(key, F.lit(1)).cast("int"))
+    others = small.filter(parts > 1).withColumn("_part", F.explode(F.sequence(F.lit(1), parts - 1)))
+    copies = first.unionByName(others) if hot else first
     return dealt.hint("merge").join(copies, [*keys, "_part"], how).drop("_part")
 
 
