@@ -24,7 +24,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.dedup_substrings(docs, keep_bytes=False).drop("spans")
+    return suffix_dedup.dedup_substrings(docs, keep_bytes=False, words=suffix_dedup.WORDS).drop("spans")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

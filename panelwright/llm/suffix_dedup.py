@@ -17,11 +17,15 @@ in 120) are what is indexed:
 4. Where one head has several classes, one context of each is looked at window by window, which
    extends the matches both ways byte by byte.  Heads with very many classes compare their windows as rows
    instead, so no group meets in one task.
+
+The same steps over a hash of each word in place of each byte find the passages of so many words that start
+elsewhere too.  They are told apart from what is removed, since a passage of words may be shorter than ``length`` bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import delete, new_path, stage_table
+from .common import delete, new_path, release, scope, stage_table
 
 LENGTH = 400
 HEAD = 160
 BATCHES = 4
 HOT = 4096
 CHUNK = 2 << 20
+#: The least passage of over fifty words.
+WORDS = 51
 
 _U = np.uint64
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -104,8 +110,16 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int, head: int) -> tuple[np
     return row, heads[at].view(np.int64), c1.view(np.int64), c2.view(np.int64), lo - offs[row], hi - lo
 
 
+def _units(data: np.ndarray, offs: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What windows are made of and where rows begin: the bytes, or a 64-bit hash of each word with A-Z lowered."""
+    if not words:
+        return data, offs
+    starts, ends = K.word_bounds(data, offs)
+    return K.word_hashes(data, starts, ends), np.searchsorted(starts, offs)
+
+
 def _chunks(data: np.ndarray, offs: np.ndarray, length: int):
-    """(first row, row offset in bytes, bytes, offsets): slices, with a huge text cut in overlapping chunks."""
+    """(first row, row offset in units, units, offsets): slices, with a huge text cut in overlapping chunks."""
     if len(data) <= 2 * CHUNK or len(offs) != 2:
         yield 0, data, offs
         return
@@ -117,12 +131,12 @@ def _chunks(data: np.ndarray, offs: np.ndarray, length: int):
 RUNS = "d long, t long, g long, c1 long, c2 long, lo long, m long"
 
 
-def _find_runs(length: int, head: int):
+def _find_runs(length: int, head: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, data, offs in K.slices(batch, "text", CHUNK):
-                for shift, part, at in _chunks(data, offs, length):
+                for shift, part, at in _chunks(*_units(data, offs, words), length):
                     row, g, c1, c2, lo, m = runs(part, at, length, head)
                     if len(row):
                         cols = [d[first + row], t[first + row], g, c1, c2, lo + shift, m]
@@ -172,7 +186,7 @@ class IndexFamily:
         return out.distinct()
 
 
-def _contexts(length: int):
+def _contexts(length: int, words: bool):
     """Over (d, t, text, w): w lists the runs of a text to show; one row (g, k, n, hot, ctx) a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +194,10 @@ def _contexts(length: int):
             rows = []
             held = 0
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                raw = memoryview(text.as_buffer())
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                units, _ = _units(raw, np.array([0, len(raw)], np.int64), words)
                 for w in wanted.as_py():
-                    ctx = bytes(raw[w["lo"] : w["lo"] + w["m"] + length])
+                    ctx = units[w["lo"] : w["lo"] + w["m"] + length].tobytes()
                     rows.append((w["g"], w["k"], w["n"], w["hot"], ctx))
                     held += len(ctx)
                 if held > CHUNK:
@@ -199,10 +214,10 @@ def _context_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["g", "k", "n", "hot", "ctx"])
 
 
-def _windows(ctx: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(ctx: list[bytes], length: int, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context, offset, w1, w2) of every window of the contexts."""
-    data = np.frombuffer(b"".join(ctx), np.uint8)
-    sizes = np.array([len(c) for c in ctx], np.int64)
+    data = np.frombuffer(b"".join(ctx), _U if words else np.uint8)
+    sizes = np.array([len(c) for c in ctx], np.int64) // data.itemsize
     offs = np.zeros(len(ctx) + 1, np.int64)
     np.cumsum(sizes, out=offs[1:])
     counts = sizes - length + 1
@@ -215,11 +230,11 @@ def _windows(ctx: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.
     return which, off, p.first(start, start + length), p.second(start, start + length)
 
 
-def _compare(length: int):
+def _compare(length: int, words: bool):
     """Repeats among the contexts of each head; rows come sorted by head."""
 
     def solve(k: list[int], n: list[int], ctx: list[bytes]) -> pa.RecordBatch:
-        which, off, w1, w2 = _windows(ctx, length)
+        which, off, w1, w2 = _windows(ctx, length, words)
         order = np.lexsort((w2, w1))
         a, b = w1[order], w2[order]
         same = np.append(False, (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
@@ -255,32 +270,36 @@ def _compare(length: int):
     return run
 
 
-def _explode(length: int):
+def _explode(length: int, words: bool):
     """One row (w1, w2, k, n, off) a window, for heads with very many classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 2048):
                 part = batch.slice(s, 2048)
-                which, off, w1, w2 = _windows(part.column(2).to_pylist(), length)
+                which, off, w1, w2 = _windows(part.column(2).to_pylist(), length, words)
                 k, n = part.column(0).to_numpy()[which], part.column(1).to_numpy()[which]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (w1.view(np.int64), w2.view(np.int64), k, n, off)], names=["w1", "w2", "k", "n", "off"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batches: int = BATCHES) -> DataFrame:
-    """(d, t, marks): for documents with repeats, spans (s, e) of bytes whose union is what repeats.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batches: int = BATCHES, words: bool = False) -> DataFrame:
+    """(d, t, marks): for documents with repeats, spans (s, e) of bytes, or of words, whose union is what repeats.
 
-    ``docs`` has d, t and text; d and t tell documents apart.
+    ``docs`` has d, t and text; d and t tell documents apart.  ``length`` and ``head`` count bytes, or words.
     """
     spark = docs.sparkSession
-    found = stage_table(docs.select("d", "t", "text").mapInArrow(_find_runs(length, head), RUNS), "runs")
-    family = IndexFamily(spark)
-    for b in range(batches):
-        family.add(found.filter(F.pmod(F.xxhash64("d", "t"), F.lit(batches)) == b).select("g"))
-    # written first, so that both sides of the join are plain exchanges and hot heads can be split
-    again = stage_table(found.join(stage_table(family.shared(), "shared"), "g", "left_semi"), "again")
+    early = f"suffixes-{uuid.uuid4().hex}"
+    with scope(early):
+        found = stage_table(docs.select("d", "t", "text").mapInArrow(_find_runs(length, head, words), RUNS), "runs")
+        family = IndexFamily(spark)
+        for b in range(batches):
+            family.add(found.filter(F.pmod(F.xxhash64("d", "t"), F.lit(batches)) == b).select("g"))
+        # written first, so that both sides of the join are plain exchanges and hot heads can be split
+        shared = stage_table(family.shared(), "shared")
+    again = stage_table(found.join(shared, "g", "left_semi"), "again")
+    release(spark, early)
 
     classes = again.groupBy("g", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "lo", "m")).alias("r"))
     classes = stage_table(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
@@ -289,11 +308,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batc
     wanted = look.groupBy("d", "t").agg(F.collect_list(F.struct("g", "k", "n", "hot", "lo", "m")).alias("w"))
     # every copy of a repeated row shows its contexts; that changes nothing, as their classes count twice anyway
     shown = docs.select("d", "t", "text").join(wanted, ["d", "t"])
-    shown = stage_table(shown.select("text", "w").mapInArrow(_contexts(length), "g long, k long, n long, hot boolean, ctx binary"), "contexts")
+    shown = stage_table(shown.select("text", "w").mapInArrow(_contexts(length, words), "g long, k long, n long, hot boolean, ctx binary"), "contexts")
 
     few = shown.filter("NOT hot").select("g", "k", "n", "ctx").repartition("g").sortWithinPartitions("g")
-    few = few.mapInArrow(_compare(length), "k long, lo long, hi long")
-    rows = shown.filter("hot").select("k", "n", "ctx").mapInArrow(_explode(length), "w1 long, w2 long, k long, n long, off long")
+    few = few.mapInArrow(_compare(length, words), "k long, lo long, hi long")
+    rows = shown.filter("hot").select("k", "n", "ctx").mapInArrow(_explode(length, words), "w1 long, w2 long, k long, n long, off long")
     twice = rows.groupBy("w1", "w2").agg(F.count("*").alias("m")).filter("m > 1").select("w1", "w2")
     hot = rows.filter("n = 1").join(twice, ["w1", "w2"], "left_semi").groupBy("k").agg(F.min("off").alias("lo"), F.max("off").alias("hi"))
     ends = few.unionByName(hot)
@@ -307,19 +326,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batc
 OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>"
 
 
-def _remove(keep_bytes: bool):
+def _union(marks) -> list[tuple[int, int]]:
+    spans: list[tuple[int, int]] = []
+    for m in sorted((m["s"], m["e"]) for m in marks or ()):
+        if spans and m[0] <= spans[-1][1]:
+            if m[1] > spans[-1][1]:
+                spans[-1] = (spans[-1][0], m[1])
+        else:
+            spans.append(m)
+    return spans
+
+
+def _passage_bytes(text: pa.Buffer, marks) -> int:
+    """Bytes from the first to the last word of each run of words that ``marks`` cover."""
+    spans = _union(marks)
+    if not spans:
+        return 0
+    raw = np.frombuffer(text, np.uint8)
+    starts, ends = K.word_bounds(raw, np.array([0, len(raw)], np.int64))
+    return int(sum(ends[e - 1] - starts[s] for s, e in spans))
+
+
+def _remove(keep_bytes: bool, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, text, marks, passages in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3)), strict=True):
                 raw = memoryview(text.as_buffer())
-                spans: list[tuple[int, int]] = []
-                for m in sorted((m["s"], m["e"]) for m in marks.as_py() or ()):
-                    if spans and m[0] <= spans[-1][1]:
-                        if m[1] > spans[-1][1]:
-                            spans[-1] = (spans[-1][0], m[1])
-                    else:
-                        spans.append(m)
+                spans = _union(marks.as_py())
                 digest, at, parts = hashlib.sha256(), 0, []
                 for s, e in [*spans, (len(raw), len(raw))]:
                     digest.update(raw[at:s])
@@ -327,33 +361,42 @@ def _remove(keep_bytes: bool):
                         parts.append(bytes(raw[at:s]))
                     at = e
                 row = (doc, len(raw), sum(e - s for s, e in spans), len(spans), digest.hexdigest(), [{"s": s, "e": e} for s, e in spans])
-                out.append((*row, b"".join(parts)) if keep_bytes else row)
+                row += (b"".join(parts),) if keep_bytes else ()
+                out.append((*row, _passage_bytes(text.as_buffer(), passages.as_py())) if words else row)
                 held += len(raw)
                 if held > 2 * CHUNK or len(out) >= 4096:
-                    yield _removed_rows(out, keep_bytes)
+                    yield _removed_rows(out, keep_bytes, words)
                     out, held = [], 0
             if out:
-                yield _removed_rows(out, keep_bytes)
+                yield _removed_rows(out, keep_bytes, words)
 
     return run
 
 
-def _removed_rows(out: list[tuple], keep_bytes: bool) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))] + [pa.binary()] * keep_bytes
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * keep_bytes
+def _removed_rows(out: list[tuple], keep_bytes: bool, words: bool) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))] + [pa.binary()] * keep_bytes + [pa.int64()] * words
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * keep_bytes + ["n_passage_bytes"] * words
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batches: int = BATCHES, keep_bytes: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batches: int = BATCHES, keep_bytes: bool = True, words: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and, if asked for, the kept bytes of every row.
 
     Texts are UTF-8 bytes, null ones empty; a match never crosses rows.  Strings are judged on the
     input, so all copies go, and overlapping repeats count.  Kept bytes may break a character.  Repeated rows
     are documents of their own, each of which repeats the other.  Texts shorter than ``length``
     lose nothing; an empty table gives an empty result; other columns are left aside.
+
+    With ``words``, ``n_passage_bytes`` tells how many bytes stand in passages of so many words that also start elsewhere,
+    whatever the white space between words and the case of A-Z.  Nothing is removed for that: such a passage may be shorter than ``length``.
     """
     src = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     src = src.withColumns({"d": F.coalesce("doc_id", F.lit(-(1 << 63))), "t": F.xxhash64("text")})
     marks = stage_table(repeated_spans(src, length, head, batches), "marks")
-    joined = src.join(marks, ["d", "t"], "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(_remove(keep_bytes), "doc_id long, " + OUT + (", kept binary" if keep_bytes else ""))
+    if words:
+        passages = stage_table(repeated_spans(src, words, max(1, words * 2 // 5), batches, words=True).withColumnRenamed("marks", "passages"), "passages")
+        marks = marks.join(passages, ["d", "t"], "full")
+    else:
+        marks = marks.withColumn("passages", F.lit(None).cast(marks.schema["marks"].dataType))
+    joined = src.join(marks, ["d", "t"], "left").select("doc_id", "text", "marks", "passages")
+    return joined.mapInArrow(_remove(keep_bytes, words > 0), "doc_id long, " + OUT + (", kept binary" if keep_bytes else "") + (", n_passage_bytes long" if words else ""))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import common, decontam, kernels as K, line_dedup, near_dup, suffix_dedup
+from panelwright.llm import common, decontam, kernels as K, line_dedup, near_dup, queries, suffix_dedup
 
 from .conftest import prose
 
@@ -177,6 +177,37 @@ def test_substrings_by_rows_for_hot_heads(docs, corpus, monkeypatch):
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_substrings([(r[0], r[1]) for r in corpus], 60)
 
 
+def brute_passages(rows, size):
+    """Bytes of each row in runs of words of which every word stands in a window of ``size`` words that also starts elsewhere."""
+    cut = [[(m.start(), m.end(), bytes(m[0]).lower()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for _, t in rows]
+    seen = Counter(tuple(w for _, _, w in ws[i : i + size]) for ws in cut for i in range(len(ws) - size + 1))
+    out = []
+    for (doc, _), ws in zip(rows, cut, strict=True):
+        on = {j for i in range(len(ws) - size + 1) if seen[tuple(w for _, _, w in ws[i : i + size])] > 1 for j in range(i, i + size)}
+        out.append((doc, sum(ws[j][1] - (ws[j - 1][1] if j - 1 in on else ws[j][0]) for j in on)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("words", "hot"), [(51, 4096), (8, 1)])
+def test_passages_against_all_windows(docs, corpus, monkeypatch, words, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    got = suffix_dedup.dedup_substrings(docs, 60, 24, 2, keep_bytes=False, words=words).collect()
+    rows = [(r[0], r[1]) for r in corpus]
+    assert sorted((r["doc_id"], r["n_passage_bytes"]) for r in got) == brute_passages(rows, words)
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_substrings(rows, 60)
+
+
+def test_query_tells_passages_that_are_too_short_to_remove(spark, tmp_path):
+    """Over fifty words in under 400 bytes, between other line ends, stand in two texts; a third text is clean."""
+    rng = random.Random(5)
+    words = prose(rng, 56).split()
+    rows = [(1, prose(rng, 80) + " " + " ".join(words) + "\n" + prose(rng, 80)), (2, prose(rng, 90) + "\n" + "\n".join(words).title() + " " + prose(rng, 60)), (3, prose(rng, 200)), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op2_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    size = len(" ".join(words))
+    assert size < 400 and [got[i]["n_passage_bytes"] for i in (1, 2, 3, 4)] == [size, size, 0, 0] and {r["n_removed"] for r in got.values()} == {0}
+
+
 def test_huge_text_is_cut_in_chunks(monkeypatch):
     rng = random.Random(4)
     data = np.frombuffer(prose(rng, 3000).encode(), np.uint8)
